@@ -16,6 +16,7 @@ for both.  Word codes have 30 bits, so two words are confused once in 10^9.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,6 +151,12 @@ def _sketch(codes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(out).tobytes(), "little")
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Words in common, each as often as both have it."""
+    one, other = Counter(a.tolist()), Counter(b.tolist())
+    return sum(min(n, other[w]) for w, n in one.items() if w in other)
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     """Words to insert, delete or replace, by Myers' bit vectors; ``limit + 1`` stands for anything above."""
     if len(a) > len(b):
@@ -200,10 +207,13 @@ def _match(codes: list[np.ndarray], block: _Block) -> Iterator[tuple[int, int, i
         e = block.own[flat]
         d = np.maximum(m[t], block.n[e]) // 5
         ok = np.flatnonzero((np.abs(i - j) <= d) & (np.abs(m[t] - block.n[e]) <= d))
+        pair, pivot, spare = t[ok] * len(block.h) + e[ok], j[ok], block.k[e[ok]] - d[ok]
+        ok = np.flatnonzero(np.bincount(pair, minlength=1)[pair] >= spare)
         # each pivot of a record counts once for a partner, however often its words recur there
-        pair, pivot = t[ok] * len(block.h) + e[ok], j[ok]
-        both = np.unique(pair * (1 << 20) + pivot) >> 20
-        pair, shared = np.unique(both, return_counts=True)
+        once = np.sort(pair[ok] * (1 << 20) + pivot[ok])
+        once = once[np.r_[True, once[1:] != once[:-1]][: len(once)]] >> 20
+        first = np.flatnonzero(np.r_[True, once[1:] != once[:-1]][: len(once)])
+        pair, shared = once[first], np.diff(np.r_[first, len(once)])
         t, e = pair // len(block.h), pair % len(block.h)
         d = np.maximum(m[t], block.n[e]) // 5
         sketches: dict[int, int] = {}
@@ -214,9 +224,10 @@ def _match(codes: list[np.ndarray], block: _Block) -> Iterator[tuple[int, int, i
                 block.sketch[y] = _sketch(block.seq[y])
             p, q = sketches[x], block.sketch[y]
             if (p & ~q).bit_count() <= limit and (q & ~p).bit_count() <= limit:
-                edits = edit_distance(codes[x], block.seq[y], limit)
-                if edits <= limit:
-                    yield x, y, edits, limit
+                if max(len(codes[x]), len(block.seq[y])) - _common(codes[x], block.seq[y]) <= limit:
+                    edits = edit_distance(codes[x], block.seq[y], limit)
+                    if edits <= limit:
+                        yield x, y, edits, limit
 
 
 def _slices(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:

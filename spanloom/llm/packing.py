@@ -21,9 +21,11 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
-CLASSES = 160  # groups of lengths in the linear program; lengths of a group count as its largest
+CLASSES = 1000  # groups of lengths in the linear program; lengths of a group count as its largest
 UNITS = 4000  # steps of the knapsack; lengths count as the next larger step
-ROUNDS = 150  # patterns priced
+FULL = 0.995  # least filling of a container that the program's solution keeps
+SPREAD = 160  # lengths that one knapsack over exact lengths chooses from
+ROUNDS = 120  # patterns priced
 SALT_ROWS = 200_000
 
 
@@ -53,10 +55,10 @@ def knapsack(size: np.ndarray, value: np.ndarray, most: np.ndarray, room: int) -
 
 def fractional(size: np.ndarray, count: np.ndarray, room: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Patterns, and how many containers of each: multiplicative weights on the covering program."""
-    patterns = [np.where(np.arange(len(size)) == i, room // size[i], 0) for i in range(len(size))]
+    patterns: list[np.ndarray] = []
     need = count.astype(float)
     covered = np.zeros(len(size))
-    seen = {p.tobytes() for p in patterns}
+    seen: set[bytes] = set()
     weight = size / room
     for t in range(rounds):
         p = knapsack(size, weight, count, room)
@@ -68,14 +70,19 @@ def fractional(size: np.ndarray, count: np.ndarray, room: int, rounds: int = ROU
         covered += p * (need / np.maximum(p, 1))[p > 0].min()
         slack = covered / need
         weight = size / room * np.exp(-2.0 * np.clip(slack - slack.min(), 0, 10)) if t % 2 else weight * np.exp(-0.15 * p / max(1, p.max()))
-    a = np.array(patterns, float)
+    a = np.array(patterns, float).reshape(-1, len(size))
     x, load = np.zeros(len(a)), np.zeros(len(size))
     step = need.sum() / 4000
     fill = a @ size / room
-    for _ in range(6000):  # the same program over the patterns found, in small steps
+    for _ in range(6000 * bool(len(a))):  # the same program over the patterns found, in small steps
         y = np.exp(-8 * load / need) / need
-        best = int(np.argmax((a * y).sum(1) * (0.2 + fill**8)))
-        s = min(step, max(1.0, ((need - load)[a[best] > 0] / a[best][a[best] > 0]).max()))
+        best = int(np.argmax(a @ y * fill**8))
+        s = min(step, ((need - load)[a[best] > 0] / a[best][a[best] > 0]).min())
+        if s < 1:  # what it needs most is used up: this pattern is done
+            fill[best] = 0
+            if not fill.any():
+                break
+            s = max(s, 0)
         x[best] += s
         load += a[best] * s
         if (load >= need).all():
@@ -98,11 +105,12 @@ def configurations(length: np.ndarray, count: np.ndarray, capacity: int) -> list
     size = np.array([min(room, int(np.ceil(length[group == g].max() / unit))) for g in range(k)])
     members = np.array([count[group == g].sum() for g in range(k)])
     a, x = fractional(size, members, room)
-    fill = a @ size
+    mean = np.array([(length * count)[group == g].sum() for g in range(k)]) / members / capacity
+    fill = a @ mean * room
     left, used = members.copy(), []
     for again in (False, True):
         for p in np.argsort(-fill, kind="stable"):
-            if fill[p] < 0.985 * room and again:
+            if fill[p] < FULL * room:  # what can be filled better by exact lengths is left to the knapsack below
                 break
             m = int((left[a[p] > 0] // a[p][a[p] > 0]).min())
             m = m if again else min(m, int(x[p]))
@@ -110,7 +118,7 @@ def configurations(length: np.ndarray, count: np.ndarray, capacity: int) -> list
                 used.append((m, a[p]))
                 left -= m * a[p]
     rows, base = [], 0
-    first = np.concatenate([[count[group == g].cumsum() - count[group == g]] for g in range(k)], axis=1)[0] if k == 1 else np.concatenate([count[group == g].cumsum() - count[group == g] for g in range(k)])
+    first = np.concatenate([count[group == g].cumsum() - count[group == g] for g in range(k)])
     at = np.zeros(k, np.int64)
     taken = np.zeros(len(length), np.int64)
     for m, p in used:
@@ -125,8 +133,8 @@ def configurations(length: np.ndarray, count: np.ndarray, capacity: int) -> list
     rest, exact = count - taken, np.ceil(length / unit).astype(np.int64).clip(max=room)
     while rest.any():  # best filled pattern of what is left, as often as it can be had
         some = np.flatnonzero(rest)
-        if len(some) > 2 * CLASSES:  # the longest, and a spread of the others to fill up with
-            some = np.unique(np.r_[some[:CLASSES], some[np.linspace(0, len(some) - 1, CLASSES).astype(int)]])
+        if len(some) > SPREAD:  # the longest, and a spread of the others to fill up with
+            some = np.unique(np.r_[some[: SPREAD // 4], some[np.linspace(0, len(some) - 1, SPREAD).astype(int)]])
         lead = some[0]
         p = np.zeros(len(length), np.int64)
         p[some] = knapsack(exact[some], exact[some].astype(float), rest[some] - (some == lead), room - exact[lead])

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_TURN = 0x9E3779B1
 MEMO = 1_000_000  # distinct pre-tokens remembered by a worker before it starts anew
 
 
@@ -47,11 +48,10 @@ class PerfectHash:
         buckets: list[list[int]] = [[] for _ in range(self.m)]
         for i, x in enumerate(h):
             buckets[x % self.m].append(i)
-        lows = np.array([(x >> 32) & 0xFFFFFFFF for x in h], np.int64)
-        steps = np.array([(x >> 64) & 0xFFFFFFFF for x in h], np.int64)
+        lows = np.array([(x >> 32) & 0xFFFFFFFF for x in h], np.uint64)[:, None]
+        steps = np.array([(x >> 64) & 0xFFFFFFFF | 1 for x in h], np.uint64)[:, None]
         taken = np.zeros(n, bool)
         self.turn, self.slot = np.zeros(self.m, np.int64), np.zeros(n, np.int64)
-        tries = np.arange(4096)
         free_at = 0
         for b in sorted(range(self.m), key=lambda b: -len(buckets[b])):
             own = buckets[b]
@@ -62,18 +62,17 @@ class PerfectHash:
                     free_at += 1
                 at, d = np.array([free_at]), -1 - free_at
             else:
-                first = 0
+                first, size = 0, 16
                 while True:
-                    at = (lows[own][:, None] + steps[own][:, None] * (first + tries)[None, :] + (first + tries)[None, :] ** 2) % n
+                    d = np.arange(first, first + size).astype(np.uint64)
+                    at = (((lows[own] + d * np.uint64(_TURN)) * steps[own] >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
                     ok = ~taken[at].any(0)
-                    for i in range(len(own)):
-                        for j in range(i):
-                            ok &= at[i] != at[j]
+                    for i in range(1, len(own)):
+                        ok &= (at[:i] != at[i]).all(0)
                     if ok.any():
-                        d = first + int(ok.argmax())
-                        at = at[:, d - first]
+                        at, d = at[:, ok.argmax()], first + int(ok.argmax())
                         break
-                    first += len(tries)
+                    first, size = first + size, min(4 * size, 4096)
             taken[at] = True
             self.slot[at] = own
             self.turn[b] = d
@@ -82,7 +81,7 @@ class PerfectHash:
     def get(self, key: bytes) -> int | None:
         x = xxhash.xxh3_128_intdigest(key)
         d = self.turn_list[x % self.m]
-        at = -1 - d if d < 0 else (((x >> 32) & 0xFFFFFFFF) + ((x >> 64) & 0xFFFFFFFF) * d + d * d) % self.n
+        at = -1 - d if d < 0 else ((((x >> 32) & 0xFFFFFFFF) + d * _TURN) * ((x >> 64) & 0xFFFFFFFF | 1) >> 32 & 0xFFFFFFFF) % self.n
         i = self.slot_list[at]
         return i if self.keys[i] == key else None
 

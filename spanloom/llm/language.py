@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .asread import as_read
 
-SAMPLE_DOCS = 2000  # labelled documents the classifier is fitted on, at most
+SAMPLE_DOCS = 1500  # labelled documents the classifier is fitted on, at most
 CLUSTERS = 3
 DIM = 1 << 15
 MIN_WORDS = 7

@@ -2,5 +2,17 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("texts", "spans", "segments", "scores", "samples", "decoding", "reports")
+
 QUERIES: dict = {}
 SQL: dict = {}
+for _name in MODULES:
+    try:
+        _c = import_module(f"{__package__}.{_name}").C
+    except ModuleNotFoundError as e:
+        if not str(e.name).endswith(_name): raise
+        continue
+    QUERIES |= _c.queries
+    SQL |= _c.sql

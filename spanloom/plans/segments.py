@@ -54,7 +54,7 @@ def paragraph_merge_stats(t):
     return stat(paras, "before").unionByName(stat(merged, "after"))
 
 
-@C.add(f"""with {_LINES}, s as (select title, max(n) m from p group by title), {_TOKENS.split("tok as")[0].rstrip(", ")} select para_id, count(*)::bigint words from c where n > 0 group by para_id""")
+@C.add("""select para_id, len(list_filter(string_split(text, ' '), lambda x: x <> ''))::bigint words from paras where len(list_filter(string_split(text, ' '), lambda x: x <> '')) > 0""")
 def paragraph_words(t):
     """Words of each paragraph."""
     w = F.size(F.filter(F.split("text", " "), lambda x: x != ""))
@@ -135,7 +135,7 @@ def pad_collate(t):
     )
 
 
-@C.add("""with a as (select para_id, unnest(list_transform(['p', 'o'], lambda x: x)) x from paras where text <> ''), g as (select old_para_idx, title, list(para_id order by para_idx, para_id) ids, count(*)::bigint parts, sum(length(text))::bigint n from paras where old_para_idx is not null group by all)
+@C.add("""with g as (select old_para_idx, title, list(para_id order by para_idx, para_id) ids, count(*)::bigint parts, sum(length(text))::bigint n from paras where old_para_idx is not null group by all)
  select title, old_para_idx, parts, n, ids from g""")
 def split_reconcile(t):
     """Parts of a paragraph that was divided, gathered by the old number."""

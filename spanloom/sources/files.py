@@ -84,7 +84,7 @@ def files(spark: SparkSession, folder: str, pattern: str = "*", depth: bool = Tr
 
 def texts(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """(path, name, content) of text files, whole."""
-    found = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder)
+    found = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder, wholetext=True)
     path = F.input_file_name()
     return found.select(path.alias("path"), F.regexp_extract(path, "([^/]+)\\.[^./]+$", 1).alias("name"), F.col("value").alias("content"))
 
@@ -147,7 +147,7 @@ def cached(make, spark: SparkSession, path: str) -> DataFrame:
 
 def template(spark: SparkSession, path: str) -> str:
     """The text of a prompt template (one small file)."""
-    return spark.read.option("wholetext", True).text(path).first()[0]
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def table_lines(rows: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:

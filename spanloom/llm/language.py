@@ -9,6 +9,7 @@ sentence of the sample is rejected.
 
 A full sentence has ``MIN_WORDS`` words of letters, outside of brackets and quotation marks, and a closing sign.
 Null, empty and blank texts, codes and figures have no sentence and no language (null, confidence 0).
+Without labels of two languages at least nothing can be fitted, and no document has a language.
 """
 
 from __future__ import annotations

@@ -192,7 +192,7 @@ def _match(codes: list[np.ndarray], block: _Block) -> Iterator[tuple[int, int, i
     gram = np.concatenate([_grams(c) for c in codes]) << np.uint64(20)
     who = np.repeat(np.arange(len(codes)), m - 1)
     where = np.concatenate([np.arange(x - 1) for x in m])
-    low, high = -(-4 * m // 5), np.minimum(5 * m // 4 + 1, (1 << 20) - 1)
+    low, high = np.minimum(-(-4 * m // 5), (1 << 20) - 1), np.minimum(5 * m // 4 + 1, (1 << 20) - 1)
     lo = np.searchsorted(block.key, gram | low[who].astype(np.uint64), "left")
     hi = np.searchsorted(block.key, gram | high[who].astype(np.uint64), "right")
     hit = np.flatnonzero(hi > lo)
@@ -203,15 +203,15 @@ def _match(codes: list[np.ndarray], block: _Block) -> Iterator[tuple[int, int, i
         if not n.sum():
             continue
         flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[a:b], n)
-        t, i, j = np.repeat(who[a:b], n), np.repeat(where[a:b], n), block.pos[flat]
+        t, i, j = np.repeat(who[a:b], n), np.repeat(where[a:b], n), block.pos[flat].astype(np.int64)
         e = block.own[flat]
         d = np.maximum(m[t], block.n[e]) // 5
         ok = np.flatnonzero((np.abs(i - j) <= d) & (np.abs(m[t] - block.n[e]) <= d))
         pair, pivot, spare = t[ok] * len(block.h) + e[ok], j[ok], block.k[e[ok]] - d[ok]
         ok = np.flatnonzero(np.bincount(pair, minlength=1)[pair] >= spare)
         # each pivot of a record counts once for a partner, however often its words recur there
-        once = np.sort(pair[ok] * (1 << 20) + pivot[ok])
-        once = once[np.r_[True, once[1:] != once[:-1]][: len(once)]] >> 20
+        once = np.sort(pair[ok] << 32 | pivot[ok])
+        once = once[np.r_[True, once[1:] != once[:-1]][: len(once)]] >> 32
         first = np.flatnonzero(np.r_[True, once[1:] != once[:-1]][: len(once)])
         pair, shared = once[first], np.diff(np.r_[first, len(once)])
         t, e = pair // len(block.h), pair % len(block.h)

@@ -145,7 +145,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _mask(line: str, filer: set[str], kind: str) -> str:
     """A line with the filer's name, the kind of agreement, dates and numbers blotted out, folded."""
     low = fold(re.sub(r"(?<!\w)(?=[^\W]*\d)[0-9OolI!SB]{1,4}(?!\w)", "#", _AFTER.sub("", line.strip())))
-    low = low.replace(fold(kind), "@") if kind else low
+    low = low.replace(fold(kind), "@") if len(kind) > 3 else low
     out: list[str] = []
     for w in re.findall(r"[^\W_]+|[^\w\s]", low):
         w = "#" if w in _MONTHS else "~" if w in filer else w
@@ -167,8 +167,7 @@ def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             width = max(map(len, lines))
             filer = set(re.findall(r"[^\W_]+", (title or "").partition("_")[0].lower()))
             glued = "".join(sorted(filer, key=len)[-1:])
-            kind = (title or "").rpartition("-")[2].lower() if "-EX-" in (title or "") else ""
-            kind = re.sub(r"^.*?-ex-[\d.]+-", "", (title or "").lower()) or kind
+            kind = title.lower().partition("-ex-")[2].lstrip("0123456789.-") if title else ""
             number = [bool(x) and _PAGE.fullmatch(x) is not None and (any(c.isdigit() for c in x) or re.fullmatch(_ROMAN, x) is not None or "/" in x or x[0] in "[-") for x in lines]
             at = [i for i, x in enumerate(lines) if x]
             for k, i in enumerate(at):

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+SALTS = 64
+
+
 def lot(seed: int, *keys: str) -> Column:
     """A row's lot, as text that sorts at random."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
@@ -24,9 +27,14 @@ def variate(seed: int, *keys: str) -> Column:
 
 
 def take(rows: DataFrame, by: list[str], keys: list[str], count: Column, seed: int, order: Column | None = None) -> DataFrame:
-    """At most ``count`` (a number, or a column) rows of each group."""
-    window = Window.partitionBy(*by).orderBy(lot(seed, *keys) if order is None else order, *keys)
-    return rows.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= count).drop("_n")
+    """At most ``count`` (a number, or a column) rows of each group.
+
+    Two rounds: the least of each group and salt, then the least of those, so a group of a third of all rows is no single task's.
+    """
+    lots = [lot(seed, *keys) if order is None else order, *keys]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)))
+    first = salted.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*lots))).filter(F.col("_n") <= count)
+    return first.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*lots))).filter(F.col("_n") <= count).drop("_n", "_salt")
 
 
 def label_split(n: int, n_train: int, seed: int) -> list[tuple[int, str]]:
@@ -59,7 +67,6 @@ def negatives_per_part(positives: DataFrame, labels: DataFrame, count: int, seed
 
 def balance(rows: DataFrame, by: list[str], keys: list[str], positive: Column, seed: int, when_none: int = 1) -> DataFrame:
     """All positive rows of each group and as many others; ``when_none`` others of a group without a positive."""
-    counted = rows.withColumn("_pos", positive.cast("int")).withColumn("_k", F.sum("_pos").over(Window.partitionBy(*by)))
-    most = F.when(F.col("_k") > 0, F.col("_k")).otherwise(F.lit(when_none))
-    window = Window.partitionBy(*by, "_pos").orderBy(lot(seed, *keys), *keys)
-    return counted.withColumn("_n", F.row_number().over(window)).filter((F.col("_pos") == 1) | (F.col("_n") <= most)).drop("_pos", "_k", "_n")
+    per = rows.groupBy(*by).agg(F.sum(positive.cast("int")).alias("_k")).withColumn("_most", F.when(F.col("_k") > 0, F.col("_k")).otherwise(F.lit(when_none)))
+    others = take(rows.filter(~positive).join(per, by), by, keys, F.col("_most"), seed)
+    return rows.filter(positive).unionByName(others.select(*rows.columns))

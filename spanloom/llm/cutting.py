@@ -4,7 +4,7 @@ Texts are worked on in ranges: a text up to ``RANGE`` characters is one range an
 read; a longer one is spread over many tasks, each of which detects the boundaries of one range
 with a halo of ``HALO`` characters at either side.  Boundary tables (a tenth of the text) are
 stitched in order and the cut runs over them; the text itself is never put together again, pieces are
-offsets.
+offsets.  ``file_pieces`` does the same for files of any size, by byte ranges.
 
 A piece ends at the last paragraph end in the upper half of its room, else sentence end, else (in the
 lower half) paragraph or sentence end, else at a blank, else between a word and a sign, else at the
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RANGE = 1 << 18
@@ -116,3 +116,48 @@ def pieces(texts: DataFrame, key: str, text: str, capacity: int, overlap: int, s
     tables = ranges.repartition("key", "own", "i").mapInArrow(mark, "key string, own long, n long, i int, blob binary")
     stitched = tables.groupBy("key", "own").agg(F.first("n").alias("n"), F.collect_list(F.struct("i", "blob")).alias("blobs"))
     return short.unionByName(stitched.select("key", "n", "blobs").mapInArrow(stitch, _PIECES))
+
+
+def file_pieces(spark: SparkSession, paths: list[str], capacity: int, overlap: int, size: int = 1 << 24) -> DataFrame:
+    """(key, piece, start_pos, end_pos) of UTF-8 files, in characters; no task reads more than ``size`` bytes and two halos of a file.
+
+    A range owns the characters whose first byte is in it.  Their number in each range, summed up, places its boundaries in
+    the whole file.  A file that can't be read fails the query; bytes that are no UTF-8 count as one character each.
+    """
+    conf = spark._jsc.hadoopConfiguration()
+    ranges = []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        n = at.getFileSystem(conf).getFileStatus(at).getLen()
+        ranges += [(path, i, a, min(n, a + size)) for i, a in enumerate(range(0, n, size))]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        halo = 4 * HALO
+        for b in batches:
+            rows = []
+            for path, i, start, stop in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                where, inner = fs.FileSystem.from_uri(path)
+                with where.open_input_file(inner) as f:
+                    low = max(0, start - halo)
+                    raw = f.read_at(min(stop + halo, f.size()) - low, low)
+                a, z = (next((k for k in range(p - low, min(p - low + 4, len(raw))) if raw[k] & 0xC0 != 0x80), p - low) for p in (start, stop))
+                before, own, after = raw[:a].decode("utf-8", "ignore"), raw[a:z].decode("utf-8", "surrogateescape"), raw[z:].decode("utf-8", "ignore")
+                marks = boundaries(before + own + after, len(before), len(before) + len(own), -len(before))
+                rows.append((path, i, len(own), _blob(marks)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["key", "i", "n", "blob"])
+
+    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                parts = sorted(parts, key=lambda x: x["i"])
+                before = np.cumsum([0, *[x["n"] for x in parts]])
+                tables = [[m + at for m in _marks(x["blob"])] for x, at in zip(parts, before, strict=False)]
+                own = cut(int(before[-1]), [np.concatenate(m) for m in zip(*tables, strict=True)], capacity, overlap)
+                yield _batch([(key, i, a, z) for i, (a, z) in enumerate(own)])
+
+    schema = "key string, i int, a long, z long"
+    spread = spark.createDataFrame(ranges, schema).repartition(max(1, len(ranges)), "key", "i")
+    tables = spread.mapInArrow(mark, "key string, i int, n long, blob binary")
+    return tables.groupBy("key").agg(F.collect_list(F.struct("i", "n", "blob")).alias("parts")).mapInArrow(stitch, _PIECES)

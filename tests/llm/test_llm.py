@@ -191,6 +191,18 @@ def test_ranges_give_the_same_pieces(spark):
     assert cutting.pieces(df.limit(0), "id", "body", 300, 20).count() == 0
 
 
+def test_files_by_byte_ranges(spark, tmp_path):
+    rng = random.Random(8)
+    text = "".join(rng.choice(["word ", "End. Next ", "New\n", "漢字。", "é " * 5, "😀 "]) for _ in range(4000))
+    (tmp_path / "a.txt").write_text(text, encoding="utf-8", newline="")
+    (tmp_path / "empty.txt").write_text("")
+    paths = [f"file://{tmp_path}/{n}.txt" for n in ("a", "empty")]
+    want = cutting.cut(len(text), cutting.boundaries(text), 300, 20)
+    for size in (1000, 1 << 24):
+        got = cutting.file_pieces(spark, paths, 300, 20, size).orderBy("piece").collect()
+        assert [(r.start_pos, r.end_pos) for r in got] == want
+
+
 # 6
 
 

@@ -7,8 +7,9 @@ a sample delivered twice counts once (the first delivery).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,3 +62,18 @@ def document_macro(rows: DataFrame) -> DataFrame:
 def missing(gold: DataFrame, predictions: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Annotated samples without a prediction."""
     return gold.join(predictions, list(keys), "left_anti")
+
+
+def predicted(samples: DataFrame, predict: Callable[[list[dict]], list[str | None]], batch: int = 64) -> DataFrame:
+    """Samples with ``prediction``: a model as a function over batches of rows, run where the rows are; keys stay with their results."""
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.to_pylist()
+            said = [p for i in range(0, len(rows), batch) for p in predict(rows[i : i + batch])]
+            if len(said) != len(rows):
+                raise ValueError("a model must give one prediction a row")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string())], names=[*b.schema.names, "prediction"])
+
+    return samples.mapInArrow(run, ddl + ", prediction string")

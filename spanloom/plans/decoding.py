@@ -52,3 +52,10 @@ def top_probabilities(t):
     e = e.withColumn("m", F.array_max("v")).withColumn("z", F.aggregate("v", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("m"))))
     pairs = F.slice(F.array_sort(F.transform("v", lambda x, i: F.struct((-x).alias("s"), i.alias("i")))), 1, 3)
     return e.select("vec_id", "m", "z", F.explode(pairs).alias("b")).select("vec_id", F.col("b.i").alias("place"), F.round(F.exp(-F.col("b.s") - F.col("m")) / F.col("z"), 6).alias("prob"))
+
+
+@C.add(f"""with {_NB} select qa, feature, "start", "end" + 1 span_end from nb where "rank" = 1 and "start" >= 0""")
+def span_export(t):
+    """The best span of each question that has one, with exclusive end."""
+    best = decode.n_best(_features(t), 5, 12).filter("rank = 1 and start >= 0")
+    return best.select("qa", "feature", "start", (F.col("end") + 1).alias("span_end"))

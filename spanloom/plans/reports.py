@@ -209,6 +209,26 @@ def clause_values(t):
     return rows.select("title", F.transform("f", lambda q: F.split_part(q["qa_id"], F.lit("__"), F.lit(2))).alias("clauses"), F.transform("f", lambda q: F.array_join(F.transform(q["answers"], lambda a: a["text"]), " | ")).alias("texts"))
 
 
+@C.add("""with g as (select title, min(para_id) first_para, count(*)::bigint n, count(*) filter (coalesce(text, '') = '')::bigint blank from paras group by title) select title, first_para, n, blank, (row_number() over (order by first_para, title))::int place from g""")
+def first_appearance_groups(t):
+    """Contracts as groups of paragraphs, in the order in which they first appear."""
+    g = t("paras").groupBy("title").agg(F.min("para_id").alias("first_para"), F.count("*").alias("n"), F.count(F.when(F.coalesce("text", F.lit("")) == "", 1)).alias("blank"))
+    return g.withColumn("place", F.row_number().over(Window.orderBy("first_para", "title")))  # a rank over all groups is what is asked for
+
+
+@C.add("""with u as (select 'train' part, title, para_idx, q_id, type, loaded_at, written_at from train_meta union all select 'test', title, para_idx, q_id, type, loaded_at, written_at from test_meta_id),
+ d as (select part, title, para_idx, q_id, count(*) k, max(epoch_us(loaded_at) - epoch_us(written_at)) late from u group by all)
+ select part, count(*)::bigint keys, sum(k)::bigint rows_all, sum(k - 1)::bigint repeated, count(*) filter (late > 86400000000)::bigint late_day, count(*) filter (title is null)::bigint no_title from d group by part""")
+def delivery_report(t):
+    """Samples delivered twice, late, or without a title."""
+    cols = ("title", "para_idx", "q_id", "loaded_at", "written_at")
+    u = t("train_meta").select(F.lit("train").alias("part"), *cols).unionByName(t("test_meta_id").select(F.lit("test").alias("part"), *cols))
+    d = u.groupBy("part", "title", "para_idx", "q_id").agg(F.count("*").alias("k"), F.max(F.unix_micros("loaded_at") - F.unix_micros("written_at")).alias("late"))
+    return d.groupBy("part").agg(
+        F.count("*").alias("keys"), F.sum("k").alias("rows_all"), F.sum(F.col("k") - 1).alias("repeated"), F.count(F.when(F.col("late") > 86_400_000_000, 1)).alias("late_day"), F.count(F.when(F.col("title").isNull(), 1)).alias("no_title")
+    )
+
+
 @C.add()
 def doc_state_sequence(t):
     """A predictor that sees what it said of the ten paragraphs before, contract by contract."""

@@ -174,3 +174,32 @@ def corr_pair(t):
     """Whether longer answers of a clause go with better scores."""
     q = _facts(t).groupBy("q_id").agg(F.avg("n_gold").alias("a"), F.avg("n_joint").alias("b"), *[F.sum(c).alias(c) for c in S.COUNTS])
     return S.scored(q).agg(F.count("*").alias("n"), F.round(F.corr("a", "f1"), 6).alias("corr_len_f1"), F.round(F.corr("a", "b"), 6).alias("corr_len_joint"))
+
+
+@C.add(f"""with {_GOLD}, gg as (select title, q_id, string_agg(gold, ' ' order by para_idx) gold from g where gold <> '' group by all), pp as (select title, q_id, string_agg({_PLAIN}, ' ' order by para_idx) pred from predictions where {_PLAIN} <> '' group by all),
+ b as (select coalesce(gg.q_id, pp.q_id) q_id, {TOKENS.format(x="gold")} gw, {TOKENS.format(x="pred")} pw from gg full join pp on gg.title = pp.title and gg.q_id = pp.q_id),
+ c as (select q_id, len(gw) g, len(pw) p, coalesce(list_sum(list_transform(list_distinct(gw), lambda x: least(len(list_filter(gw, lambda y: y = x)), len(list_filter(pw, lambda y: y = x))))), 0) j from b),
+ q as (select q_id, avg(coalesce(j / nullif(p, 0), 0)) p, avg(coalesce(j / nullif(g, 0), 0)) r, avg(coalesce(2 * j / nullif(g + p, 0), 0)) f1, avg(coalesce(j / nullif(g + p - j, 0), 0)) iou, count(*) n from c group by q_id)
+ select count(*)::bigint questions, sum(n)::bigint pairs, round(avg(p), 6) p, round(avg(r), 6) r, round(avg(f1), 6) f1, round(avg(iou), 6) iou from q""")
+def metrics_merged_docs(t):
+    """Scores of whole contracts: the mean over questions (those that occur) of the mean over contracts."""
+    pairs = gold_pred_full_outer(t)
+    per = S.scored(pairs, M.strict).groupBy("q_id").agg(F.count("*").alias("n"), *[F.avg(n).alias(n) for n in ("p", "r", "f1", "iou")])
+    return per.agg(F.count("*").alias("questions"), F.sum("n").alias("pairs"), *[F.round(F.avg(n), 6).alias(n) for n in ("p", "r", "f1", "iou")])
+
+
+@C.add(f"""with {_GOLD}, b as (select p.title, p.para_idx, p.q_id, {TOKENS.format(x="prediction")} pw, list_transform(coalesce(g0.answers, []), lambda a: {TOKENS.format(x="a")}) gw
+ from predictions p join g0 on g0.title = p.title and g0.para_idx = p.para_idx and g0.q_id = p.q_id and g0.rn = 1)
+ select title, para_idx, q_id, case when len(gw) = 0 then len(pw) = 0 else len(list_filter(gw, lambda x: x = pw)) > 0 end exact from b""")
+def exact_any_gold(t):
+    """Whether a prediction equals any of its sample's answers; samples without a prediction are left out."""
+    both = t("predictions").join(_gold(t).select("title", "para_idx", "q_id", "answers"), ["title", "para_idx", "q_id"])
+    said, gold = T.tokens(F.col("prediction")), F.coalesce("answers", F.array().cast("array<string>"))
+    return both.select("title", "para_idx", "q_id", F.when(F.size(gold) == 0, F.size(said) == 0).otherwise(F.exists(gold, lambda a: T.tokens(a) == said)).alias("exact"))
+
+
+@C.add(f"""with {_FACTS}, s as (select title, para_idx, q_id, type, {_ROW} from f) select s.title, s.para_idx, s.q_id, c.clause_type, s.type, round(iou, 6) iou from s join clauses c using (q_id) where type <= 2 and iou < 0.99""")
+def paragraph_questions(t):
+    """Samples that went wrong, with the clause's name."""
+    s = S.scored(_facts(t)).filter((F.col("type") <= 2) & (F.col("iou") < 0.99))
+    return s.join(F.broadcast(t("clauses").select("q_id", "clause_type")), "q_id").select("title", "para_idx", "q_id", "clause_type", "type", F.round("iou", 6).alias("iou"))  # 41 clauses

@@ -181,3 +181,19 @@ def test_sequential_state(spark):
     df = spark.createDataFrame([(k, i) for k in "ab" for i in range(5)], "k string, i int")
     got = sequential(df.repartition(3), "k", ["i"], lambda row, memory: f"{row['i']}:{len(memory)}", 2)
     assert [r.said for r in got.orderBy("k", "i").collect()] == ["0:0", "1:1", "2:2", "3:2", "4:2"] * 2
+
+
+def test_predictions_stay_with_their_rows(spark):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "i int, text string").repartition(3)
+    got = scoring.predicted(df, lambda rows: [None if r["i"] % 7 == 0 else r["text"].upper() for r in rows], batch=4)
+    assert all(r.prediction == (None if r.i % 7 == 0 else f"T{r.i}") for r in got.collect()) and got.count() == 50
+
+
+def test_special_ids(spark):
+    df = spark.createDataFrame([([1, 5, 2],), ([5],), ([],), ([1],)], "ids array<int>")
+    assert [r[0] for r in df.select(T.without_special(F.col("ids"), first=1, last=2)).collect()] == [[5], [5], [], []]
+
+
+def test_clamped_index(spark):
+    df = spark.createDataFrame([(-1, 5), (-9, 5), (99, 5), (3, 5)], "i int, last int")
+    assert [r[0] for r in df.select(runs.clamped(F.col("i"), F.lit(10), F.col("last"))).collect()] == [5, 0, 9, 3]

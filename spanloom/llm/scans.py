@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from .asread import as_read
 from .shared import kept
 
-WRAPPED = 0.4  # share of longer lines that must break off within a sentence
+WRAPPED = 0.65  # share of longer lines that must break off within a sentence
 KNOWN = 3  # times that unscanned contracts must have a word for it to be beyond doubt
 MASK_DOCS = 2  # contracts in which a header's mask must interrupt a sentence or touch a page number
 LEAST_LINE = 40
@@ -88,6 +88,11 @@ def weighed_distance(read: str, true: str, limit: float = 2.0) -> float:
     return d[n][m]
 
 
+def _width(lines: list[str]) -> int:
+    """The length of the longest line of plain text."""
+    return max((len(x) for x in lines if " " in x and "|" not in x), default=0)
+
+
 def is_scanned(lines: list[str]) -> bool:
     """Whether most longer lines (as read) break off within a sentence."""
     long = [x for x in lines if len(x) >= LEAST_LINE and "|" not in x and " " in x]
@@ -164,7 +169,7 @@ def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = _shown(text)
             if not is_scanned(lines):
                 continue
-            width = max(map(len, lines))
+            width = _width(lines)
             filer = set(re.findall(r"[^\W_]+", (title or "").partition("_")[0].lower()))
             glued = "".join(sorted(filer, key=len)[-1:])
             kind = title.lower().partition("-ex-")[2].lstrip("0123456789.-") if title else ""
@@ -359,7 +364,7 @@ def _like(read: str, true: str) -> str:
 def _paragraphs(lines: list[str], gone: set[int], cuts: set[int], fix: dict[int, dict[str, str]]) -> Iterator[str]:
     """Lines put together: a paragraph ends at a blank line, and after a closing sign or a line that is no sentence."""
     text, open_cut, changes = "", False, {}
-    width = max((len(x) for x in lines), default=0)
+    width = _width(lines)
     for i, line in enumerate(lines):
         if i in gone:
             continue

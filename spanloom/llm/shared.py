@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+IN_MEMORY = 10.0  # how much larger than its file a table may be in memory
 BATCH_ROWS = 256  # whole contracts travel in Arrow batches, so the default of 10,000 rows is too many
 
 
@@ -47,6 +48,9 @@ def _local() -> str:
 def kept(df: DataFrame, *by: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage and outlives an executor."""
     spark = df.sparkSession
+    factor = "spark.sql.sources.fileCompressionFactor"
+    if float(spark.conf.get(factor, "1.0")) < IN_MEMORY:
+        spark.conf.set(factor, IN_MEMORY)  # else a file counts as small enough to broadcast by its compressed size
     path = scratch(spark)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)

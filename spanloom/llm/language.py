@@ -7,7 +7,8 @@ centroid per language moves sentences to the language they are nearest to.  A se
 language of the nearest centroid by cosine; one farther from all centroids than nearly every
 sentence of the sample is rejected.
 
-A full sentence has ``MIN_WORDS`` words of letters, outside of brackets and quotation marks, and a closing sign.
+A full sentence has ``MIN_WORDS`` words of letters, outside of brackets and of quotations that are no whole
+sentence, and a closing sign.
 Null, empty and blank texts, codes and figures have no sentence and no language (null, confidence 0).
 Without labels of two languages at least nothing can be fitted, and no document has a language.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,8 @@ NO_LABEL = ("", "unknown", "n/a", "na", "und", "undetermined", "none", "null", "
 
 # A closing sign before a small letter closes nothing (Inc., Corp.), nor does one after a day's number.
 _END = re.compile(r"(?<!\s\d)(?<!\s\d\d)[.!?](?:[\"'”’»)]{0,2}|\s?\([^()\n]{1,40}\)[.!?]?)(?=\s+[^\sa-zà-öø-ÿ]|\s*$)|[。！？]")
-_ASIDE = re.compile(r"\([^()\n]*\)|\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»")
+_ASIDE = re.compile(r"\([^()\n]*\)")
+_QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -58,6 +61,12 @@ def label_code(label: Column) -> Column:
     return out.otherwise(low)
 
 
+def shown(text: str | None) -> str:
+    """The text as read, with blanks in the place of quoted words that are no whole sentence."""
+    whole = lambda q: q[1:2].isupper() and q[-2:-1] in ".?!"
+    return _QUOTED.sub(lambda m: m[0] if whole(m[0]) else " " * len(m[0]), as_read(text) or "")
+
+
 def sentences(text: str | None) -> list[tuple[int, int, bool]]:
     """(start, end, closed) of the stretches between closing signs; ``closed`` where a sign ends it."""
     out, at = [], 0
@@ -70,7 +79,7 @@ def sentences(text: str | None) -> list[tuple[int, int, bool]]:
 
 
 def plain_words(stretch: str) -> list[str]:
-    """Words of letters in lower case, without what stands in brackets or quotation marks."""
+    """Words of letters in lower case, without what stands in brackets."""
     return _LETTERS.findall(_ASIDE.sub(" ", stretch).lower())
 
 
@@ -99,21 +108,54 @@ def counts(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key[first] // DIM, key[first] % DIM, np.diff(np.r_[first, len(key)])
 
 
+class _Known(dict):
+    """Places of words in the table of their own dot products."""
+
+    def __init__(self, owner: Centroids):
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        self.owner.learn(word, at)
+        return at
+
+
 class Centroids:
     """Several centroids per language, the weights of grams, and the rejection threshold."""
 
     def __init__(self, langs: list[str], idf: np.ndarray, matrix: np.ndarray, least: float = 0.0):
         self.langs, self.idf, self.matrix, self.least = langs, idf.astype(np.float32), matrix.astype(np.float32), least
+        self.known = _Known(self)
+        self.own = np.zeros((1024, self.matrix.shape[1]), np.float32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "own")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, known=_Known(self), own=np.zeros((1024, state["matrix"].shape[1]), np.float32))
+
+    def learn(self, word: str, at: int) -> None:
+        """Keeps the word's own dot products at that place."""
+        if at >= len(self.own):
+            self.own = np.concatenate([self.own, np.zeros_like(self.own)])
+        gram = _GRAMS[word]
+        self.own[at] = (self.idf[gram, None] * self.matrix[gram]).sum(0)
 
     def cosines(self, texts: list[list[str]]) -> np.ndarray:
         """Cosine of each text with the nearest centroid of each language."""
+        if len(self.known) > 300_000:
+            self.known, self.own = _Known(self), self.own[:1024]
         row, gram, times = counts(texts)
         out = np.zeros((len(texts), self.matrix.shape[1]), np.float32)
         if len(row):
             value = times * self.idf[gram]
             first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            dots = np.add.reduceat(value[:, None] * self.matrix[gram], first, axis=0)
             norm = np.sqrt(np.add.reduceat(value * value, first))
+            # a dot product is linear in the times of grams, so it is summed over words, whose own are remembered
+            some = [ws for ws in texts if ws]
+            ids = np.fromiter(map(self.known.__getitem__, chain.from_iterable(some)), np.int64, sum(map(len, some)))
+            dots = np.add.reduceat(self.own[ids], np.cumsum([0, *map(len, some)])[:-1], axis=0)
             out[row[first]] = dots / np.maximum(norm, 1e-9)[:, None]
         return out.reshape(len(texts), len(self.langs), -1).max(2)
 
@@ -170,7 +212,7 @@ def labelled_sentences(documents: DataFrame, limit: int = SAMPLE_DOCS) -> list[t
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, limit / max(1, total)))
     out = []
     for r in known.filter(share).limit(2 * limit).toLocalIterator():
-        text = as_read(r.text)
+        text = shown(r.text)
         for a, b, closed in sentences(text):
             ws = plain_words(text[a:b])
             if closed and len(ws) >= MIN_WORDS:
@@ -192,7 +234,7 @@ def classified(documents: DataFrame, model: Centroids) -> DataFrame:
         for b in batches:
             rows, texts = [], []
             for d, text, label in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                text = as_read(text) or ""
+                text = shown(text)
                 for a, z, closed in sentences(text):
                     ws = plain_words(text[a:z])
                     if len(ws) >= 3:

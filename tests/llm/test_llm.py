@@ -322,3 +322,8 @@ def test_languages(spark):
 def test_sentences_do_not_end_at_abbreviations():
     text = "The firm Abc Inc. confirms receipt of Section 4.11. Next one am 21. Juli ends here (pro rata). Open end"
     assert [text[a:b].strip() for a, b, _ in language.sentences(text)] == ["The firm Abc Inc. confirms receipt of Section 4.11.", "Next one am 21. Juli ends here (pro rata).", "Open end"]
+
+
+def test_quoted_fragments_are_no_sentences():
+    text = 'Article 6 Scope "suivent la résiliation, en 53 versements égaux. Si" and "This quoted part is one whole sentence of its own."'
+    assert [language.plain_words(language.shown(text)[a:b]) for a, b, _ in language.sentences(language.shown(text))] == ["article scope and this quoted part is one whole sentence of its own".split()]

@@ -50,7 +50,7 @@ def kept(df: DataFrame, *by: str) -> DataFrame:
     spark = df.sparkSession
     factor = "spark.sql.sources.fileCompressionFactor"
     if float(spark.conf.get(factor, "1.0")) < IN_MEMORY:
-        spark.conf.set(factor, IN_MEMORY)  # else a file counts as small enough to broadcast by its compressed size
+        spark.conf.set(factor, str(IN_MEMORY))  # else a file counts as small enough to broadcast by its compressed size
     path = scratch(spark)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)

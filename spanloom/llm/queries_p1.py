@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .overlap import coded_records, cross_split_pairs, split_paragraphs
-from .shared import kept, table
+from .shared import kept, long_rows, table
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    long_rows(spark)
     paras = split_paragraphs(*(table(spark, sf_dir, t) for t in ("paras", "train_meta", "test_meta_id")))
     coded = kept(coded_records(paras, "text", "para_id", "part", "source"))
     return coded, cross_split_pairs(coded)

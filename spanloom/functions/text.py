@@ -66,7 +66,7 @@ def without_special(ids: Column, first: int | None = None, last: int | None = No
     if first is not None:
         ids = F.when(F.get(ids, F.lit(0)) == first, F.slice(ids, 2, 1 << 30)).otherwise(ids)
     if last is not None:
-        ids = F.when(F.element_at(ids, -1) == last, F.slice(ids, F.lit(1), F.greatest(F.size(ids) - 1, F.lit(0)))).otherwise(ids)
+        ids = F.when(F.try_element_at(ids, F.lit(-1)) == last, F.slice(ids, F.lit(1), F.greatest(F.size(ids) - 1, F.lit(0)))).otherwise(ids)
     return ids
 
 

@@ -32,6 +32,7 @@ MIN_WORDS = 10
 EXTRA = 3  # pivots beyond the edits allowed; a pair must share at least so many
 SLOTS = 1 << 15  # counters of word pairs; their noise only makes the choice of pivots less good
 BLOCK_WORDS = 4_000_000  # words of evaluation records in one block of the index: some 40 MB
+HITS = 2_000_000  # pivots met by training records that are worked on at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -186,8 +187,8 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     return score
 
 
-def _match(codes: list[np.ndarray], block: _Block) -> Iterator[tuple[int, int, int, int]]:
-    """(which of codes, which of the block, edits, edits allowed) of every near pair."""
+def _match(codes: list[np.ndarray], block: _Block, size: int = HITS) -> Iterator[tuple[int, int, int, int]]:
+    """(which of codes, which of the block, edits, edits allowed) of every near pair, once."""
     m = np.array([len(c) for c in codes], np.int64)
     gram = np.concatenate([_grams(c) for c in codes]) << np.uint64(20)
     who = np.repeat(np.arange(len(codes)), m - 1)
@@ -198,20 +199,28 @@ def _match(codes: list[np.ndarray], block: _Block) -> Iterator[tuple[int, int, i
     hit = np.flatnonzero(hi > lo)
     lo, hi, who, where = lo[hit], hi[hit], who[hit], where[hit]
     ends = np.cumsum(hi - lo)
-    for a, b in _slices(ends, 2_000_000):
+
+    def hits(a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = (hi - lo)[a:b]
-        if not n.sum():
-            continue
         flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[a:b], n)
         t, i, j = np.repeat(who[a:b], n), np.repeat(where[a:b], n), block.pos[flat].astype(np.int64)
         e = block.own[flat]
         d = np.maximum(m[t], block.n[e]) // 5
         ok = np.flatnonzero((np.abs(i - j) <= d) & (np.abs(m[t] - block.n[e]) <= d))
-        pair, pivot, spare = t[ok] * len(block.h) + e[ok], j[ok], block.k[e[ok]] - d[ok]
-        ok = np.flatnonzero(np.bincount(pair, minlength=1)[pair] >= spare)
+        return t[ok] * len(block.h) + e[ok], j[ok], block.k[e[ok]] - d[ok]
+
+    for a, b in _slices(ends, who, size):
         # each pivot of a record counts once for a partner, however often its words recur there
-        once = np.sort(pair[ok] << 32 | pivot[ok])
-        once = once[np.r_[True, once[1:] != once[:-1]][: len(once)]] >> 32
+        if ends[b - 1] - (ends[a - 1] if a else 0) <= size:
+            pair, pivot, spare = hits(a, b)
+            ok = np.flatnonzero(np.bincount(pair, minlength=1)[pair] >= spare)
+            once = _distinct(pair[ok] << 32 | pivot[ok])
+        else:  # one record: what is kept of all its slices is at most the block's pivots, and is counted only when complete
+            once = np.zeros(0, np.int64)
+            for x, y in _slices(ends[a:b] - (ends[a - 1] if a else 0), np.arange(b - a), size):
+                pair, pivot, _ = hits(a + x, a + y)
+                once = _distinct(np.r_[once, pair << 32 | pivot])
+        once >>= 32
         first = np.flatnonzero(np.r_[True, once[1:] != once[:-1]][: len(once)])
         pair, shared = once[first], np.diff(np.r_[first, len(once)])
         t, e = pair // len(block.h), pair % len(block.h)
@@ -230,13 +239,19 @@ def _match(codes: list[np.ndarray], block: _Block) -> Iterator[tuple[int, int, i
                         yield x, y, edits, limit
 
 
-def _slices(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows, cut only between records' rows, of some ``size`` matches each."""
-    a = 0
-    while a < len(ends):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
-        yield a, b
-        a = b
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.r_[True, keys[1:] != keys[:-1]][: len(keys)]]
+
+
+def _slices(ends: np.ndarray, who: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows, cut only where ``who`` changes, of ``size`` matches at most, or of a single one of ``who``."""
+    last = np.flatnonzero(np.r_[who[1:] != who[:-1], True][: len(who)]) + 1  # where each one's rows end
+    a, k = 0, 0
+    while k < len(last):
+        k = max(k + 1, int(np.searchsorted(ends[last - 1], (ends[a - 1] if a else 0) + size, "right")))
+        yield a, int(last[k - 1])
+        a = int(last[k - 1])
 
 
 NEAR = pa.schema([("rec_id", pa.int64()), ("h", pa.binary()), ("edits", pa.int32())])

@@ -5,6 +5,8 @@ import bisect
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +72,22 @@ def test_edit_distance_and_long_texts():
     assert len(set(at.tolist()) | set((at + 1).tolist())) == 2 * len(at)
 
 
+def test_slices_of_hits_lose_and_repeat_no_pair(tmp_path):
+    rng = random.Random(9)
+    coded = [np.array([int(w[1:]) % 12 for w in t.split()], np.uint32) for t in near_texts(rng, 120)]
+    ours, theirs = [c for c in coded[:40] if len(c) >= 10], [c for c in coded[40:] if len(c) >= 10]
+    at = [overlap.pivots(c, np.zeros(overlap.SLOTS, np.int64)).astype(np.int32).tobytes() for c in ours]
+    pq.write_table(pa.table({"h": [bytes([i]) for i in range(len(ours))], "seq": [c.tobytes() for c in ours], "at": at}), tmp_path / "x.parquet")
+    block = overlap._Block(f"file://{tmp_path}/x.parquet")
+    want = [(i, j) for i, a in enumerate(theirs) for j, b in enumerate(ours) if slow_distance(a.tolist(), b.tolist()) <= max(len(a), len(b)) // 5]
+    for size in (1, 7, 40, 500, 1 << 20):
+        assert sorted((x, y) for x, y, *_ in overlap._match(theirs, block, size)) == want and len(want) > 20
+    who = np.array([0, 0, 0, 1, 2, 2, 5])
+    for size in range(1, 12):
+        runs = list(overlap._slices(np.cumsum([1, 2, 1, 5, 1, 1, 9]), who, size))
+        assert runs[0][0] == 0 and runs[-1][1] == 7 and all(p[1] == q[0] and who[q[0]] != who[q[0] - 1] for p, q in zip(runs, runs[1:], strict=False))
+
+
 # 2
 
 

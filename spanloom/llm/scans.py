@@ -3,7 +3,8 @@
 A contract counts as scanned when most of its longer lines break off in the middle of a sentence.
 Page numbers are known by their form; running headers and footers by the mask of their line (names
 of the filer and kind of agreement, dates and numbers blotted out), when that mask stands next to page
-numbers, or between two halves of a sentence, in enough contracts of the whole corpus.  A word cut by a
+numbers, or between two halves of a sentence, in enough contracts of the whole corpus.  Masks are learnt
+from lines that are shorter than the text or written as a title, and hold for lines of any width.  A word cut by a
 line end is told from a compound written with a hyphen by counts over the corpus.
 
 Misread words: every word of a scanned contract that the unscanned ones hardly have is looked up in a
@@ -117,7 +118,7 @@ def numeric_misread(token: str) -> bool:
 
 
 _VOCAB = "word string, clean long, scanned long"
-_MASKS = "title string, line_no int, mask string, number boolean, beside boolean"
+_MASKS = "title string, line_no int, mask string, number boolean, beside boolean, apart boolean"
 _FACTS = "title string, line_no int, kind string, word string, other string, before string"
 
 
@@ -159,6 +160,12 @@ def _mask(line: str, filer: set[str], kind: str) -> str:
     return " ".join(out)
 
 
+def _titled(line: str) -> bool:
+    """Whether all longer words of a line begin with a capital."""
+    long = re.findall(r"[^\W\d_]{4,}", _AFTER.sub("", line))
+    return bool(long) and all(w[0].isupper() for w in long)
+
+
 _MONTHS = {fold(m) for m in ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")}
 
 
@@ -178,12 +185,12 @@ def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, i in enumerate(at):
                 x = lines[i]
                 if number[i]:
-                    rows.append((title, i, "", True, False))
-                elif len(x) < 0.85 * width and not _TERMINAL.search(x) and not re.match(r"\d+\.|\(|ARTICLE ", x):
+                    rows.append((title, i, "", True, False, True))
+                elif not _TERMINAL.search(x) and not re.match(r"\d+\.|\(|ARTICLE ", x):
                     own = {fold(w) for w in filer} | {f for w in re.findall(r"[^\W_]+", x) if len(w) > 3 and (f := fold(w)) in fold(glued)}
                     near = any(0 <= j < len(at) and number[at[j]] for j in (k - 1, k + 1))
                     cut = 0 < k < len(at) - 1 and not _TERMINAL.search(lines[at[k - 1]]) and len(lines[at[k - 1]]) > 0.6 * width and lines[at[k + 1]][:1].islower()
-                    rows.append((title, i, _mask(x, own, kind), False, near or cut))
+                    rows.append((title, i, _mask(x, own, kind), False, near or cut, len(x) < 0.85 * width or _titled(x)))
         if rows:
             yield _rows(_MASKS, rows)
 
@@ -251,7 +258,7 @@ def vocabulary(contracts: DataFrame) -> DataFrame:
 def page_lines(contracts: DataFrame) -> DataFrame:
     """(title, line_no) of page numbers, running headers and running footers."""
     lines = kept(contracts.select("title", "doc_text").filter("doc_text <> ''").mapInArrow(_masks, _MASKS))
-    masks = lines.filter("not number").groupBy("mask").agg(
+    masks = lines.filter("not number and apart").groupBy("mask").agg(
         F.countDistinct(F.when(F.col("beside"), F.col("title"))).alias("docs"), F.avg(F.col("beside").cast("double")).alias("share")
     )
     running = masks.filter((F.col("docs") >= MASK_DOCS) & (F.col("share") >= 0.5)).select("mask")

@@ -246,6 +246,21 @@ def test_scanned_lines(spark):
     assert scans.page_lines(none).count() == 0 and scans.line_facts(none, kept(scans.page_lines(none))).count() == 0
 
 
+def test_headers_as_wide_as_the_text(spark):
+    narrow = ["the supplier shall promptly deliver goods to", "the buyer without any further notice in that", "case and the buyer shall inspect the goods as"]
+    wide = [f"{x} soon as they have been received at the warehouse" for x in narrow]
+    rows = [
+        (f"{f}_1-EX-1-TOLL AGREEMENT", "\n".join([body[0], "TOLL AGREEMENT, Draft of September 7, 2014", *body, f"{f} Proprietary Material of Owner  Page 2", *body]))
+        for f, body in (("Abcdefgh", narrow), ("Bcdefghi", wide), ("Cdefghij", wide))
+    ]
+    rows += [(f"Dxyzefgh {k}_1-EX-1-X", "\n".join([narrow[0], "CONTRACT BETWEEN ALL THE NAMED PARTIES", *narrow])) for k in "ab"]
+    df = spark.createDataFrame(rows, "title string, doc_text string")
+    got = {}
+    for r in scans.page_lines(df).collect():
+        got.setdefault(r.title, set()).add(r.line_no)
+    assert [got.get(t) for t, _ in rows] == [{1, 5}] * 3 + [{1}] * 2
+
+
 def test_confusions_are_cheap():
     for read, true in [("retumable", "returnable"), ("vvith", "with"), ("c0st", "cost"), ("closcd", "closed"), ("dosed", "closed"), ("confidenfial", "confidential"), ("hstings", "listings"), ("wbere", "where")]:
         assert scans.weighed_distance(read, true) < 0.5 and set(scans.delete_keys(read)) & set(scans.delete_keys(true))

@@ -252,7 +252,7 @@ def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def vocabulary(contracts: DataFrame) -> DataFrame:
     """(word, clean, scanned): how often unscanned and scanned contracts have each word and each pair of words, in lower case."""
     texts = contracts.select("title", "doc_text").filter("doc_text <> ''")
-    return kept(texts.mapInArrow(_vocabulary, _VOCAB).groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scanned").alias("scanned")).filter("clean + scanned > 1 or not contains(word, ' ')"))
+    return kept(texts.mapInArrow(_vocabulary, _VOCAB).groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scanned").alias("scanned")))
 
 
 def page_lines(contracts: DataFrame) -> DataFrame:

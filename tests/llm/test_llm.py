@@ -261,6 +261,12 @@ def test_headers_as_wide_as_the_text(spark):
     assert [got.get(t) for t, _ in rows] == [{1, 5}] * 3 + [{1}] * 2
 
 
+def test_a_pair_seen_once_decides_a_tie(spark):
+    df = spark.createDataFrame([("a", "Prices fall. Leaves fall. Nights fall. Stars fall. All fall. Pumps fail. Tests fail. Nobody should fail. It may fail.")], "title string, doc_text string")
+    facts = spark.createDataFrame([("b", 0, "word", "fa1l", "", before) for before in ("may", "rates")], scans._FACTS)
+    assert {(r.before, r.fix) for r in scans.repairs(facts, scans.vocabulary(df)).collect()} == {("may", "fail"), ("rates", "fall")}
+
+
 def test_confusions_are_cheap():
     for read, true in [("retumable", "returnable"), ("vvith", "with"), ("c0st", "cost"), ("closcd", "closed"), ("dosed", "closed"), ("confidenfial", "confidential"), ("hstings", "listings"), ("wbere", "where")]:
         assert scans.weighed_distance(read, true) < 0.5 and set(scans.delete_keys(read)) & set(scans.delete_keys(true))

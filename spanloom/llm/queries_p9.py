@@ -36,9 +36,9 @@ def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of sentences of one language in documents that mix languages, with place and confidence."""
+    """Runs of stretches of one language, full sentences or not, in documents that mix languages, with place and confidence."""
     _, sentence = _sentences(spark, sf_dir)
-    known = kept(full(sentence))
+    known = kept(sentence.filter("lang is not null"))
     mixed = known.groupBy("doc_id").agg(F.countDistinct("lang").alias("k")).filter("k > 1").select("doc_id")
     order = Window.partitionBy("doc_id").orderBy("start_pos")
     new = F.coalesce((F.lag("lang").over(order) != F.col("lang")).cast("int"), F.lit(1))

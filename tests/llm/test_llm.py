@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import cutting, encode, language, leaks, overlap, packing, scans, together
+from spanloom.llm import cutting, encode, language, leaks, overlap, packing, queries_p9, scans, together
 from spanloom.llm.asread import as_read, match_key, span_key, words
 from spanloom.llm.canonical import canonical, fold_key, lookalike_spans
 from spanloom.llm.shared import kept
@@ -358,6 +358,14 @@ def test_languages(spark):
     assert language.fitted(df.limit(0)) is None and language.classified(df.limit(0), model).count() == 0
 
 
+def test_segments_need_no_full_sentence(spark, tmp_path):
+    rows = [(i * 3 + k, LINES[c] + f" ({i} pro rata).", c) for i in range(30) for k, c in enumerate(LINES)]
+    rows += [(900, f"{LINES['en']}\n{LINES['fr'][:-1]}", "en"), (901, f"{LINES['en']} Die Waren an die Käuferin liefern.", "en"), (902, LINES["en"], "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.segment, r.lang) for r in queries_p9.p9_segments(spark, str(tmp_path)).collect())
+    assert got == [(900, 1, "en"), (900, 2, "fr"), (901, 1, "en"), (901, 2, "de")]
+
+
 def test_sentences_do_not_end_at_abbreviations():
     text = "The firm Abc Inc. confirms receipt of Section 4.11. Next one am 21. Juli ends here (pro rata). Open end"
     assert [text[a:b].strip() for a, b, _ in language.sentences(text)] == ["The firm Abc Inc. confirms receipt of Section 4.11.", "Next one am 21. Juli ends here (pro rata).", "Open end"]

@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small
+
 _TURN = 0x9E3779B1
 MEMO = 1_000_000  # distinct pre-tokens remembered by a worker before it starts anew
 
@@ -145,7 +147,7 @@ def encoded(documents: DataFrame, path: str, pattern: str, doc_id: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(table.value, pattern)
-        for b in batches:
+        for b in small(batches):
             values, offsets = array("i"), [0]
             for t in b.column(1).to_pylist():
                 values.extend(encoder.encode(t))

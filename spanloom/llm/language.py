@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .asread import as_read
+from .shared import small
 
 SAMPLE_DOCS = 1500  # labelled documents the classifier is fitted on, at most
 CLUSTERS = 3
@@ -231,7 +232,7 @@ def classified(documents: DataFrame, model: Centroids) -> DataFrame:
     names = [x.split()[0] for x in SEGMENTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             rows, texts = [], []
             for d, text, label in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = shown(text)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .asread import _WORD, as_read, words
-from .shared import kept
+from .shared import kept, small
 
 MIN_RUN = 10
 SHARE = 0.5
@@ -131,7 +131,7 @@ def held_items(documents: DataFrame, paths: list[str], share: float = SHARE, doc
     names = ["doc_id", "item_id", "covered", "item_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = [(d, words(t)) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t]
             for path in paths:
                 machine = _load(path)
@@ -153,7 +153,7 @@ def without_leaks(documents: DataFrame, paths: list[str], min_run: int = MIN_RUN
     """(doc_id, removed, clean_text) of every document with runs of items; ``removed`` counts words, the text is as read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             rows = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 shown = as_read(t) if t else ""

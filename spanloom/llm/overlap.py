@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .asread import words
-from .shared import kept
+from .shared import kept, small
 
 MIN_WORDS = 10
 EXTRA = 3  # pivots beyond the edits allowed; a pair must share at least so many
@@ -52,7 +52,7 @@ CODED = pa.schema(
 
 
 def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         rows = []
         for rec, part, source, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
             w = words(text)
@@ -79,7 +79,7 @@ def _grams(codes: np.ndarray) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SLOTS, np.int64)
-    for b in batches:
+    for b in small(batches):
         for seq in b.column(0).to_pylist():
             total += np.bincount((_grams(np.frombuffer(seq, np.uint32)) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
     at = np.flatnonzero(total)
@@ -106,7 +106,7 @@ def pivots(codes: np.ndarray, seen: np.ndarray) -> np.ndarray:
 
 def _pivoted(seen: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             h, seq, block = (b.column(i) for i in range(3))
             at = [pivots(np.frombuffer(s, np.uint32), seen).astype(np.int32).tobytes() for s in seq.to_pylist()]
             yield pa.RecordBatch.from_arrays([h, seq, pa.array(at, pa.binary()), block], names=["h", "seq", "at", "block"])
@@ -261,7 +261,7 @@ def _near(paths: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[list[int]] = []
         seqs: list[list[np.ndarray]] = []
-        for b in batches:  # one partition of the training side: its size is that of a file split
+        for b in small(batches):  # one partition of the training side: its size is that of a file split
             ids.append(b.column(0).to_pylist())
             seqs.append([np.frombuffer(s, np.uint32) for s in b.column(1).to_pylist()])
         for path in paths if ids else []:

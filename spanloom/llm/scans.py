@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .asread import as_read
-from .shared import kept
+from .shared import kept, small
 
 WRAPPED = 0.65  # share of longer lines that must break off within a sentence
 KNOWN = 3  # times that unscanned contracts must have a word for it to be beyond doubt
@@ -132,7 +132,7 @@ def _rows(names: str, rows: list[tuple]) -> pa.RecordBatch:
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     clean, scanned = Counter(), Counter()
     flush = lambda: _rows(_VOCAB, [(w, clean[w], scanned[w]) for w in {**clean, **scanned}])
-    for b in batches:
+    for b in small(batches):
         for text in b.column(1).to_pylist():
             lines = _shown(text)
             into = scanned if is_scanned(lines) else clean
@@ -170,7 +170,7 @@ _MONTHS = {fold(m) for m in ("January", "February", "March", "April", "May", "Ju
 
 
 def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         rows = []
         for title, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
             lines = _shown(text)
@@ -196,7 +196,7 @@ def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         rows: list[tuple] = []
         for title, text, pages in zip(*(c.to_pylist() for c in b.columns), strict=True):
             skip, lines = set(pages or ()), _shown(text)
@@ -234,7 +234,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         words = b.column(0).to_pylist()
         rows = [(w, k) for w in words for k in delete_keys(w)]
         if rows:
@@ -242,7 +242,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         cols = [c.to_pylist() for c in b.columns]
         rows = [(w, c, weighed_distance(w, c)) for w, c in zip(*cols, strict=True)]
         if rows:
@@ -271,7 +271,7 @@ def line_facts(contracts: DataFrame, pages: DataFrame) -> DataFrame:
     texts = contracts.select("title", "doc_text").filter("doc_text <> ''")
 
     def only_scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             keep = [is_scanned(_shown(t)) for t in b.column(1).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
@@ -345,7 +345,7 @@ def repaired(contracts: DataFrame, pages: DataFrame, split: DataFrame, facts: Da
     scanned = contracts.join(facts.select("title").distinct(), "title", "left_semi").select("title", "doc_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             rows = []
             for title, text, gone, cuts, changed in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 fix: dict[int, dict[str, str]] = {}

@@ -209,6 +209,24 @@ def test_ranges_give_the_same_pieces(spark):
     assert cutting.pieces(df.limit(0), "id", "body", 300, 20).count() == 0
 
 
+def test_ranges_agree_over_long_runs_of_blanks(spark):
+    rng = random.Random(11)
+    parts = ["word ", "End. ", "New\n", "x" * 60, "\n\n", "。", "\u2003", "a.'\" "]
+    texts = ["".join(rng.choice(parts) + " " * (rng.randrange(0, 300) if rng.random() < 0.2 else 0) + rng.choice(["", "x", "X"]) for _ in range(rng.randrange(1, 150))) for _ in range(40)]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, body string")
+    want = {(str(i), k, a, z) for i, t in enumerate(texts) for k, (a, z) in enumerate(cutting.cut(len(t), cutting.boundaries(t), 70, 9) if len(t) > 70 else [(0, len(t))])}
+    for size in (30, 64, 500, None):
+        assert {tuple(r) for r in cutting.pieces(df, "id", "body", 70, 9, size).collect()} == want
+
+
+def test_boundary_tables_are_short():
+    rng = random.Random(12)
+    mixed = "".join("word " * rng.randrange(3, 30) + "End. " for _ in range(9000))
+    for text, most in ((mixed, 0.03), ("A sentence of some words stands here. " * 20_000, 0.3)):  # chains over a text with a period never meet
+        runs, nodes = cutting.range_table(cutting.Cutter(cutting.boundaries(text), len(text), None, 900, 90), len(text) - 900, False)
+        assert runs.shape[1] < 40 and nodes.nbytes < most * len(text)
+
+
 def test_files_by_byte_ranges(spark, tmp_path):
     rng = random.Random(8)
     text = "".join(rng.choice(["word ", "End. Next ", "New\n", "漢字。", "é " * 5, "😀 "]) for _ in range(4000))
@@ -216,7 +234,7 @@ def test_files_by_byte_ranges(spark, tmp_path):
     (tmp_path / "empty.txt").write_text("")
     paths = [f"file://{tmp_path}/{n}.txt" for n in ("a", "empty")]
     want = cutting.cut(len(text), cutting.boundaries(text), 300, 20)
-    for size in (1000, 1 << 24):
+    for size in (100, 1000, 1 << 24):
         got = cutting.file_pieces(spark, paths, 300, 20, size).orderBy("piece").collect()
         assert [(r.start_pos, r.end_pos) for r in got] == want
 

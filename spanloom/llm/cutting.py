@@ -12,7 +12,7 @@ after a few pieces, and its boundary table is short, with one row per run of sta
 that end is, where the chain leaves the range, and with how many pieces).  The tables of a text are stitched in order:
 prefix sums of lengths and of pieces, and one look-up a range, say where the text enters each.  Ranges then
 emit their own pieces as offsets, each for itself.  No step holds a whole file, nor all boundaries of one text: what is
-stitched in one task are the runs of a text's ranges, 20 to 40 of 16 bytes for each range.
+stitched in one task are the runs of a text's ranges, of 16 bytes, at most one for each boundary within a capacity.
 
 Boundaries have a bounded context (a sentence's closing sign followed by ``CONTEXT`` blanks ends it whatever
 comes after them), so ranges of any size give the same pieces as the whole text.

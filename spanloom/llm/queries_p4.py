@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .packing import packed
+from .packing import packed_all
 from .shared import table
 
 
@@ -15,8 +12,7 @@ def p4_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A container for every non-empty paragraph, for each capacity; only longer paragraphs are in pieces."""
     settings = table(spark, sf_dir, "size_limits").filter("problem = 4").orderBy("setting").collect()  # a table of settings
     paras = table(spark, sf_dir, "paras").select("para_id", "text")
-    parts = [packed(paras, "para_id", "text", s.capacity).select(F.lit(s.setting).alias("setting"), F.col("item_id").alias("para_id"), "piece", "start_pos", "end_pos", "container") for s in settings]
-    return reduce(DataFrame.unionByName, parts)
+    return packed_all(paras, "para_id", "text", {s.setting: s.capacity for s in settings}).withColumnRenamed("item_id", "para_id")
 
 
 QUERIES = {"p4_containers": p4_containers}

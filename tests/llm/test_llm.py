@@ -221,7 +221,7 @@ def test_ranges_agree_over_long_runs_of_blanks(spark):
 
 def test_boundary_tables_are_short():
     rng = random.Random(12)
-    mixed = "".join("word " * rng.randrange(3, 30) + "End. " for _ in range(9000))
+    mixed = "".join("Word " * rng.randrange(3, 30) + "end. " for _ in range(9000))
     for text, most in ((mixed, 0.03), ("A sentence of some words stands here. " * 20_000, 0.3)):  # chains over a text with a period never meet
         runs, nodes = cutting.range_table(cutting.Cutter(cutting.boundaries(text), len(text), None, 900, 90), len(text) - 900, False)
         assert runs.shape[1] < 40 and nodes.nbytes < most * len(text)

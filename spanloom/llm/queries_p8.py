@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .leaks import held_items, item_blocks, without_leaks
+from .leaks import DROP, held_items, item_blocks, without_leaks
 from .shared import table
 
 
@@ -24,8 +24,8 @@ def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold runs of items, without those runs."""
-    return without_leaks(table(spark, sf_dir, "documents"), item_blocks(table(spark, sf_dir, "eval_items")))
+    """Documents that hold runs of items, without those runs; no text where more than half of its words are in them."""
+    return without_leaks(table(spark, sf_dir, "documents"), item_blocks(table(spark, sf_dir, "eval_items")), drop=DROP)
 
 
 QUERIES = {"p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p8_clean": p8_clean}

@@ -339,6 +339,32 @@ def test_automaton_equals_brute_force():
         assert got == {k: n for k, w in items if (n := slow_cover(w, doc, 3))}
 
 
+def test_repetitive_items_take_linear_time():
+    n = 20_000  # what takes the square of this would not end
+    machine = leaks.Automaton([(1, ["x"] * n), (2, ["x", "y"] * 40)])
+    assert {machine.items[k][0]: b.bit_count() for k, b in machine.covered(["x"] * n).items()} == {1: n}
+    assert {machine.items[k][0]: b.bit_count() for k, b in machine.covered(["x", "y"] * 6).items()} == {2: 80}
+
+
+def test_several_blocks_give_what_one_gives(spark):
+    rng = random.Random(13)
+    texts = [" ".join(f"t{rng.randrange(8)}" for _ in range(rng.randrange(12, 40))) for _ in range(30)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, item_text string")
+    rows = [(i, " ".join(rng.choice(texts).split()[rng.randrange(0, 9) :] + ["tail", rng.choice(texts)])) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (None, texts[0]), (3, texts[1]), (3, texts[1])], "doc_id long, text string")
+    one, three = leaks.item_blocks(items), leaks.item_blocks(items, most=sum(map(len, texts)) // 3)
+    assert len(one) == 1 and len(three) >= 3
+    held = [sorted(map(tuple, leaks.held_items(docs, p).collect()), key=str) for p in (one, three)]
+    clean = [sorted(map(tuple, leaks.without_leaks(docs, p, drop=0.5).collect()), key=str) for p in (one, three)]
+    assert held[0] == held[1] and clean[0] == clean[1] and any(r[2] is None for r in clean[0]) and [r[0] for r in clean[0]].count(3) == 3
+    want = set()
+    for d, t in rows:
+        for i, item in enumerate(texts):
+            if slow_cover(words(item), words(t), 10) >= len(words(item)) / 2:
+                want.add((d, i))
+    assert {(r[0], r[1]) for r in held[0] if r[0] is not None} >= want
+
+
 def test_held_items(spark):
     passage = " ".join(f"word{i}" for i in range(30))
     items = spark.createDataFrame([(1, passage, "x"), (2, "too short", "x"), (3, None, "x"), (4, "", "x"), (5, passage, "x")], "item_id long, item_text string, doc_id string")

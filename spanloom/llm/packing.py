@@ -143,7 +143,8 @@ def packed_all(items: DataFrame, item_id: str, text: str, capacities: dict[str,
     start, end = F.col("piece") * F.col("capacity"), F.least("n", (F.col("piece") + 1) * F.col("capacity"))
     each = each.select("setting", "capacity", "item_id", "piece", start.alias("start_pos"), end.alias("end_pos"), (end - start).alias("n"))
     histogram = kept(each.groupBy("setting", "capacity", "n").agg(F.count("*").alias("times")))  # at most one row for each length up to the capacity
-    intervals = kept(histogram.groupBy("setting").applyInPandas(_solved, _INTERVALS))
+    apart = histogram.repartitionByRange(len(capacities), "setting")  # else the settings, being small, share a task
+    intervals = kept(apart.groupBy("setting").applyInPandas(_solved, _INTERVALS))
     salts = max(1, (histogram.agg(F.max("times")).first()[0] or 0) // SALT_ROWS)
     salted = each.withColumn("salt", F.pmod(F.xxhash64("item_id", "piece"), F.lit(salts)))
     before = salted.groupBy("setting", "n", "salt").count().withColumn("before", F.sum("count").over(Window.partitionBy("setting", "n").orderBy("salt")) - F.col("count"))

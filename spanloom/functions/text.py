@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # ASCII punctuation, and English articles, that don't count when answers are compared.
 PUNCTUATION = "[!-/:-@\\[-`{-~]"
 ARTICLES = ("a", "an", "the")
+# Blanks of any script and the four separators of ASCII; needs the flag (?U).
+BLANKS = "[\\s\\x1c-\\x1f]"
 
 
 def compress(text: Column) -> Column:
@@ -31,9 +33,11 @@ def for_display(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Words for comparing answers: lower case, punctuation out, then articles out; none for null or ''."""
+    """Words for comparing answers: lower case, punctuation out, then articles out where they stand between signs that are
+    no letters or digits, then cut at blanks; none for null or ''."""
     bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, "")
-    return F.filter(F.split(bare, "(?U)\\s+"), lambda w: (w != "") & ~w.isin(*ARTICLES))
+    bare = F.regexp_replace(bare, "(?<![\\p{L}\\p{N}])(" + "|".join(ARTICLES) + ")(?![\\p{L}\\p{N}])", " ")
+    return F.filter(F.split(bare, f"(?U){BLANKS}+"), lambda w: w != "")
 
 
 def blank_words(text: Column) -> Column:
@@ -41,6 +45,17 @@ def blank_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \t\r\n ]+"), lambda w: w != "")
 
 
+def word_of_signs(text: Column) -> Column:
+    """For each sign the number of the blank-separated word it is in or follows, -1 before the first; null for null."""
+    blank = lambda c: c.isin(" ", "\t", "\r", "\n", "\u202f")
+    signs = F.filter(F.split(text, ""), lambda c: c != "")
+    step = lambda acc, c: F.struct(
+        F.when(blank(c), acc["n"]).when(acc["gap"], acc["n"] + 1).otherwise(acc["n"]).alias("n"), blank(c).alias("gap")
+    )
+    begin = F.struct(F.lit(-1).alias("n"), F.lit(True).alias("gap"))
+    return F.aggregate(signs, F.struct(begin.alias("at"), F.array().cast("array<int>").alias("all")), lambda a, c: F.struct(step(a["at"], c).alias("at"), F.concat(a["all"], F.array(step(a["at"], c)["n"])).alias("all")), lambda a: a["all"])
+
+
 def head(text: Column, n: int = 5) -> Column:
     """The first ``n`` blank-separated words of each non-empty line, joined by '. '."""
     lines = F.filter(F.split(text, "\n"), lambda x: x != "")
@@ -71,9 +86,10 @@ def without_special(ids: Column, first: int | None = None, last: int | None = No
 
 
 def file_key(name: Column) -> Column:
-    """A file's name for matching: extension off, trimmed, quotes and ampersands to '_', closing '-' off."""
-    bare = F.trim(F.regexp_replace(name, "\\.[A-Za-z]{2,4}$", ""))
-    return F.regexp_replace(F.regexp_replace(bare, "[&']", "_"), "-+$", "")
+    """A file's name for matching: all from the last full stop off, trimmed, quotes and ampersands to '_', one closing '-' off; '' without a full stop."""
+    bare = F.when(F.contains(name, F.lit(".")), F.regexp_replace(name, "\\.[^.]*$", "")).otherwise(F.when(name.isNotNull(), F.lit("")))
+    bare = F.regexp_replace(bare, f"(?U)^{BLANKS}+|{BLANKS}+$", "")
+    return F.regexp_replace(F.regexp_replace(bare, "[&']", "_"), "-$", "")
 
 
 def quoted(text: Column) -> Column:
@@ -81,6 +97,11 @@ def quoted(text: Column) -> Column:
     return F.regexp_extract(text, '"(.+)"', 1)
 
 
+def details(text: Column) -> Column:
+    """What follows 'Details: ' in its line, without no-break spaces; '' if nothing does."""
+    return F.replace(F.regexp_extract(text, "Details: ([^\n]+)", 1), F.lit("\u00a0"), F.lit(""))
+
+
 def qa_parts(qa_id: Column) -> Column:
     """(title, clause, number) of ``title__clause`` with an optional number at the end."""
     clause = F.split_part(qa_id, F.lit("__"), F.lit(2))
@@ -102,6 +123,7 @@ def render(template: str, **slots: Column) -> Column:
 def target(answers: Column, style: str) -> Column:
     """What a model should answer, in one of three styles; null and empty lists mean there is nothing."""
     found = F.size(F.coalesce(answers, F.array())) > 0
+    # The words of the three styles.
     bullets = F.array_join(F.transform(answers, lambda a: F.concat(F.lit("- "), a)), "\n")
     some, none = {
         "list": (bullets, "No"),
@@ -122,20 +144,27 @@ def predicted_lines(prediction: Column) -> Column:
 
 
 def predicted_text(prediction: Column) -> Column:
-    """A prediction without its 'Yes.', '' for 'No', 'No.' and null."""
+    """A prediction without its 'Yes.', '' for exactly 'No' or 'No.' and for null."""
     p = F.coalesce(prediction, F.lit(""))
-    return F.when(F.trim(p).isin("No", "No."), F.lit("")).otherwise(F.regexp_replace(p, "^Yes\\.", ""))
+    return F.when(p.isin("No", "No."), F.lit("")).otherwise(F.regexp_replace(p, "^Yes\\.", ""))
 
 
 def predicted_bullets(prediction: Column) -> Column:
-    """The same line by line, without the bullets."""
-    return F.array_join(F.transform(F.split(predicted_text(prediction), "\n"), lambda x: F.regexp_replace(x, "^- ", "")), "\n")
+    """The same as one line: its non-empty lines without the bullets, joined by blanks."""
+    lines = F.filter(F.split(predicted_text(prediction), "\n"), lambda x: x != "")
+    return F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, "^- ", "")), " ")
+
+
+def zero_shot_chat(prediction: Column) -> Column:
+    """'' when the prediction holds No and no Yes, and for null; else the prediction."""
+    p = F.coalesce(prediction, F.lit(""))
+    return F.when(p.contains("No") & ~p.contains("Yes"), F.lit("")).otherwise(p)
 
 
-def zero_shot(prediction: Column, paragraph: Column) -> Column:
-    """'' when the prediction says No and not Yes, the whole paragraph when it says Yes, else the prediction."""
+def zero_shot_plain(prediction: Column, paragraph: Column) -> Column:
+    """'' for exactly No and for null, the whole paragraph for exactly Yes ('' without one), else the prediction."""
     p = F.coalesce(prediction, F.lit(""))
-    return F.when(p.contains("No") & ~p.contains("Yes"), F.lit("")).when(p.contains("Yes"), F.coalesce(paragraph, F.lit(""))).otherwise(p)
+    return F.when(p == "No", F.lit("")).when(p == "Yes", F.coalesce(paragraph, F.lit(""))).otherwise(p)
 
 
 def source_and_target(prompt: Column, mark: str = "Answer:\n") -> Column:
@@ -154,9 +183,21 @@ def tagged(text: Column, tag: str) -> Column:
 
 
 def short_number(value: Column) -> Column:
-    """Whole numbers plainly, small ones in powers of ten, others with four decimals."""
-    small = (F.abs(value) < 0.001) & (value != 0)
-    return F.when(value == F.floor(value), F.format_string("%d", value.cast("bigint"))).when(small, F.format_string("%.2e", value)).otherwise(F.format_string("%.4f", value))
+    """Five significant digits between 0.001 and 1000, without closing zeros; '0.0' under 0.000001; else three decimals and a power of ten.
+
+    Ties, as the number's shortest digits show them, go to the even digit.
+    """
+    x, exact = F.abs(value), value.cast("double").try_cast("decimal(38,20)")
+    fixed = None
+    for most, digits in ((0.01, 7), (0.1, 6), (1.0, 5), (10.0, 4), (100.0, 3), (1000.0, 2)):
+        own = F.bround(exact, digits).cast("string")
+        fixed = F.when(x < most, own) if fixed is None else fixed.when(x < most, own)
+    fixed = F.regexp_replace(fixed, "\\.?0+$", "")
+    long = F.format_string("%.12e", value.cast("double"))
+    mantissa = F.bround(F.split_part(long, F.lit("e"), F.lit(1)).try_cast("decimal(20,12)"), 3)
+    power = F.when(F.abs(mantissa) < 10, F.concat(mantissa.cast("string"), F.lit("e"), F.split_part(long, F.lit("e"), F.lit(2)))).otherwise(F.format_string("%.3e", value.cast("double")))
+    odd = F.when(F.isnan(value), F.lit("nan")).when(value == float("inf"), F.lit("inf")).when(value == float("-inf"), F.lit("-inf"))
+    return F.when(value.isNotNull(), odd.when((x > 0.001) & (x < 1000), fixed).when(x < 1e-6, F.lit("0.0")).otherwise(power))
 
 
 def with_prefix(labels: Column, prefix: str) -> Column:

@@ -9,9 +9,10 @@ from .common import Catalogue
 
 C = Catalogue()
 
-#: Words of a text for comparing answers, in DuckDB.
-TOKENS = """list_filter(string_split_regex(regexp_replace(lower(coalesce({x}, '')), '[!-/:-@\\[-`{{-~]', '', 'g'), '[\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]+'),
- lambda w: w <> '' and w not in ('a', 'an', 'the'))"""
+#: Words of a text for comparing answers, in DuckDB.  Articles are replaced twice, as a match uses up the sign after it.
+TOKENS = r"""list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[!-/:-@\[-`{{-~]', '', 'g'),
+ '(^|[^\p{{L}}\p{{N}}])(?:a|an|the)([^\p{{L}}\p{{N}}]|$)', '\1 \2', 'g'), '(^|[^\p{{L}}\p{{N}}])(?:a|an|the)([^\p{{L}}\p{{N}}]|$)', '\1 \2', 'g'),
+ '[\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+'), lambda w: w <> '')"""
 
 
 @C.add(r"""select doc_id, length(regexp_replace(regexp_replace(text, ' +', ' ', 'g'), '\n+', chr(10), 'g'))::bigint n_compressed,
@@ -47,21 +48,28 @@ def head_and_shortening(t):
     return t("paras").select("para_id", T.head(x).alias("head"), T.omit_middle(x, 40).alias("shortened"), T.keep_words(x, 30).alias("cut"))
 
 
-@C.add(r"""select distinct title, regexp_replace(regexp_replace(trim(regexp_replace(title || '.txt', '\.[A-Za-z]{2,4}$', '')), '[&'']', '_', 'g'), '-+$', '') file_key,
+_KEY = r"regexp_replace(regexp_replace(trim(case when contains({x}, '.') then regexp_replace({x}, '\.[^.]*$', '') when {x} is not null then '' end), '[&'']', '_', 'g'), '-$', '')"
+
+
+@C.add(f"""select distinct title, {_KEY.format(x="(title || ' --.contract')")} file_key, {_KEY.format(x="title")} bare_key,
  regexp_extract(title, '-EX-([0-9.]+)-', 1) exhibit from paras""")
 def filename_normalize(t):
-    """File names as keys."""
-    return t("paras").select("title", T.file_key(F.concat("title", F.lit(".txt"))).alias("file_key"), F.regexp_extract("title", "-EX-([0-9.]+)-", 1).alias("exhibit")).distinct()
+    """File names as keys, of a name with an extension and of a plain title."""
+    return t("paras").select(
+        "title", T.file_key(F.concat("title", F.lit(" --.contract"))).alias("file_key"), T.file_key(F.col("title")).alias("bare_key"), F.regexp_extract("title", "-EX-([0-9.]+)-", 1).alias("exhibit")
+    ).distinct()
 
 
 @C.add(r"""select q_id, regexp_extract(clause_quest, '"(.+)"', 1) clause_name, 'Does this part concern "' || clause_type || '"?' ask_plain, clause_quest || ' Details: ' || coalesce(readme_group, '') ask_detail,
+ replace(regexp_extract(clause_quest || ' Details: ' || coalesce(readme_group, '') || chr(160) || 'x', 'Details: ([^\n]+)', 1), chr(160), '') detail,
  'Highlight what is related to "' || clause_type || '".' ask_mark from clauses""")
 def clause_name_extract(t):
     """Clause names out of questions, and questions out of clause names."""
     name = F.col("clause_type")
     return t("clauses").select(
         "q_id", T.quoted(F.col("clause_quest")).alias("clause_name"), F.format_string('Does this part concern "%s"?', name).alias("ask_plain"),
-        T.render("{q} Details: {g}", q=F.col("clause_quest"), g=F.col("readme_group")).alias("ask_detail"), F.format_string('Highlight what is related to "%s".', name).alias("ask_mark"),
+        T.render("{q} Details: {g}", q=F.col("clause_quest"), g=F.col("readme_group")).alias("ask_detail"),
+        T.details(T.render("{q} Details: {g}\u00a0x", q=F.col("clause_quest"), g=F.col("readme_group"))).alias("detail"), F.format_string('Highlight what is related to "%s".', name).alias("ask_mark"),
     )
 
 
@@ -105,17 +113,19 @@ def answer_shorten(t):
 
 @C.add(r"""with p as (select title, para_idx, q_id, coalesce(prediction, '') c, prediction from predictions), x as (select title, para_idx, any_value(text order by para_id) text from paras group by all)
  select p.title, p.para_idx, p.q_id, case when prediction is null or starts_with(prediction, 'None') then [] else string_split(prediction, chr(10)) end lines,
- case when trim(c) in ('No', 'No.') then '' else regexp_replace(c, '^Yes\.', '') end plain,
- array_to_string(list_transform(string_split(case when trim(c) in ('No', 'No.') then '' else regexp_replace(c, '^Yes\.', '') end, chr(10)), lambda l: regexp_replace(l, '^- ', '')), chr(10)) bullets,
- md5(case when contains(c, 'No') and not contains(c, 'Yes') then '' when contains(c, 'Yes') then coalesce(x.text, '') else c end) zero_shot_md5
+ case when c in ('No', 'No.') then '' else regexp_replace(c, '^Yes\.', '') end plain,
+ array_to_string(list_transform(list_filter(string_split(case when c in ('No', 'No.') then '' else regexp_replace(c, '^Yes\.', '') end, chr(10)), lambda l: l <> ''), lambda l: regexp_replace(l, '^- ', '')), ' ') bullets,
+ md5(case when contains(c, 'No') and not contains(c, 'Yes') then '' else c end) chat_md5,
+ md5(case when c = 'No' then '' when c = 'Yes' then coalesce(x.text, '') else c end) plain_md5, md5(coalesce(x.text, '')) whole_md5
  from p left join x on x.title = p.title and x.para_idx = p.para_idx""")
 def prediction_parse(t):
-    """Predictions read in four ways."""
+    """Predictions read in five ways, and what a plain Yes would be read as."""
     paras = t("paras").groupBy("title", "para_idx").agg(F.min_by("text", "para_id").alias("text"))
-    p = F.col("prediction")
+    p, text = F.col("prediction"), F.col("text")
     return t("predictions").join(paras, ["title", "para_idx"], "left").select(
-        "title", "para_idx", "q_id", T.predicted_lines(p).alias("lines"), T.predicted_text(p).alias("plain"), T.predicted_bullets(p).alias("bullets"), F.md5(T.zero_shot(p, F.col("text"))).alias("zero_shot_md5")
-    )
+        "title", "para_idx", "q_id", T.predicted_lines(p).alias("lines"), T.predicted_text(p).alias("plain"), T.predicted_bullets(p).alias("bullets"),
+        F.md5(T.zero_shot_chat(p)).alias("chat_md5"), F.md5(T.zero_shot_plain(p, text)).alias("plain_md5"), F.md5(T.zero_shot_plain(F.lit("Yes"), text)).alias("whole_md5"),
+    )
 
 
 @C.add(r"""with p as (select para_id, 'Text: ' || coalesce(text, '') || chr(10) || 'Answer:' || chr(10) || source s from paras)
@@ -138,10 +148,14 @@ def label_prefix_and_tags(t):
     return labels.select("title", T.with_prefix(F.col("labels"), "gold_").alias("gold"), T.with_prefix(F.col("labels"), "pred_").alias("pred"), T.tagged(text, "q").alias("marked"))
 
 
-@C.add(r"""select event_id, case when value = floor(value) then format('{:d}', value::bigint) when abs(value) < 0.001 then format('{:.2e}', value) else format('{:.4f}', value) end shown from events""")
+_SHOWN = "case when abs({x}) > 0.001 and abs({x}) < 1000 then format('{{:.5g}}', {x}) when abs({x}) < 1e-6 then '0.0' else format('{{:.3e}}', {x}) end"
+
+
+@C.add(f"""with e as (select event_id, value::double v from events) select event_id, {_SHOWN.format(x="v")} shown, {_SHOWN.format(x="(v / 1e5)")} small, {_SHOWN.format(x="(v * 1e4)")} large from e""")
 def number_format(t):
     """Numbers written by magnitude."""
-    return t("events").select("event_id", T.short_number(F.col("value")).alias("shown"))
+    v = F.col("value").cast("double")
+    return t("events").select("event_id", T.short_number(v).alias("shown"), T.short_number(v / 1e5).alias("small"), T.short_number(v * 1e4).alias("large"))
 
 
 @C.add(r"""select c, count(*) n, count(distinct doc_id) docs from (select doc_id, unnest(string_split(text, '')) c from documents where text is not null) where c <> '' and (unicode(c) > 126 or unicode(c) < 32) group by c""")
@@ -151,3 +165,12 @@ def char_histogram(t):
     chars = t("documents").select("doc_id", F.explode(F.filter(F.split(odd, ""), lambda x: x != "")).alias("c"))
     per = chars.groupBy("c", "doc_id").agg(F.count("*").alias("n"))
     return per.groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+
+
+@C.add(r"""with s as (select answer_id, text, [c for c in string_split(text, '') if c <> ''] cs from answers where text is not null),
+ u as (select answer_id, unnest(cs) c, generate_subscripts(cs, 1) i from s), b as (select *, c in (' ', chr(9), chr(13), chr(10), chr(8239)) g from u),
+ n as (select answer_id, i, sum(case when not g and coalesce(p, true) then 1 else 0 end) over (partition by answer_id order by i) - 1 w from (select *, lag(g) over (partition by answer_id order by i) p from b))
+ select s.answer_id, coalesce(list(w::int order by i) filter (i is not null), []) word_of from s left join n using (answer_id) group by s.answer_id""")
+def char_word_index(t):
+    """The word of every sign of an answer."""
+    return t("answers").filter("text is not null").select("answer_id", T.word_of_signs(F.col("text")).alias("word_of"))

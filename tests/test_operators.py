@@ -17,17 +17,17 @@ def rows(df, *order):
 
 
 def test_space_compression(spark):
-    df = spark.createDataFrame([("123     456\n\n78 panda 滴 µ",), (None,), ("",)], "t string")
-    assert [r[0] for r in df.select(T.compress(F.col("t"))).collect()] == ["123 456\n78 panda 滴 µ", None, ""]
+    df = spark.createDataFrame([("one  two    three\n\n\nfour\tfive ß\n",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(T.compress(F.col("t"))).collect()] == ["one two three\nfour\tfive ß\n", None, ""]
     df = spark.createDataFrame([("   a   b  ",)], "t string")
     assert df.select(T.drop_outer_runs(F.col("t"))).first()[0] == "a b"
 
 
 def test_atoms_of_a_document(spark):
-    s = spark.createDataFrame([("d", 3, 7, "person"), ("d", 5, 8, "loc"), ("d", None, 9, "x")], "k string, s int, e int, l string")
-    n = spark.createDataFrame([("d", 10), ("empty", 0)], "k string, n int")
+    s = spark.createDataFrame([("d", 1, 6, "fee"), ("d", 2, 4, "term"), ("d", 4, 9, "term"), ("d", None, 9, "x")], "k string, s int, e int, l string")
+    n = spark.createDataFrame([("d", 12), ("empty", 0)], "k string, n int")
     got = rows(spans.atoms(s, n, "k", "s", "e", "l", "n"), "k", "s")
-    assert got == [("d", 0, 3, []), ("d", 3, 5, ["person"]), ("d", 5, 7, ["loc", "person"]), ("d", 7, 8, ["loc"]), ("d", 8, 10, [])]
+    assert got == [("d", 0, 1, []), ("d", 1, 2, ["fee"]), ("d", 2, 6, ["fee", "term"]), ("d", 6, 9, ["term"]), ("d", 9, 12, [])]
 
 
 def test_union_and_complement(spark):
@@ -197,3 +197,34 @@ def test_special_ids(spark):
 def test_clamped_index(spark):
     df = spark.createDataFrame([(-1, 5), (-9, 5), (99, 5), (3, 5)], "i int, last int")
     assert [r[0] for r in df.select(runs.clamped(F.col("i"), F.lit(10), F.col("last"))).collect()] == [5, 0, 9, 3]
+
+
+def test_tokens_drop_articles_at_word_boundaries_before_cutting(spark):
+    rows = [("the “a” party–an x", ["“", "”", "party–", "x"]), ("The a the A an", []), ("the_a an-other", ["thea", "another"]), ("x\x1cy", ["x", "y"]), (None, []), ("", [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string").select("i", T.tokens(F.col("t")).alias("w"))
+    assert {r.i: r.w for r in df.collect()} == {i: w for i, (_, w) in enumerate(rows)}
+
+
+def test_predictions_are_read_as_given(spark):
+    rows = ["No", " No", "No.", "Yes. - a\n\n- b", "Yes", "Yes. - the answer", "None of it", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    p = F.col("t")
+    got = df.select("i", T.predicted_text(p), T.predicted_bullets(p), T.zero_shot_chat(p), T.zero_shot_plain(p, F.lit("WHOLE"))).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [
+        ("", "", "", ""), (" No", " No", "", " No"), ("", "", "", "No."), (" - a\n\n- b", " - a b", "Yes. - a\n\n- b", "Yes. - a\n\n- b"), ("Yes", "Yes", "Yes", "WHOLE"),
+        (" - the answer", " - the answer", "Yes. - the answer", "Yes. - the answer"), ("None of it", "None of it", "", "None of it"), ("", "", "", ""),
+    ]
+
+
+def test_short_numbers(spark):
+    def plain(x):
+        return f"{x:.5g}" if 0.001 < abs(x) < 1000 else "0.0" if abs(x) < 1e-6 else f"{x:.3e}"
+
+    values = [0.0, 5.0, -5.0, 12345.0, 12.3457, 1e-7, 0.001, 0.0010001, 999.9999, 1000.0, 99.99999, 0.0123456789, float("nan"), float("inf"), -0.00234, 120.0, 9.9995e5]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate([*values, None])], "i int, v double").select("i", T.short_number(F.col("v")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == [*map(plain, values), None]
+
+
+def test_file_keys(spark):
+    df = spark.createDataFrame([(0, " a&b.c'd--.longext"), (1, "no extension"), (2, None), (3, "x-.pdf")], "i int, t string")
+    assert [r.k for r in df.select("i", T.file_key(F.col("t")).alias("k")).orderBy("i").collect()] == ["a_b.c_d-", "", None, "x"]

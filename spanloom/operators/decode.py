@@ -1,7 +1,10 @@
 """Answers out of start and end scores.
 
 Every step is a window over the question, so questions spread over tasks; ties are broken by place
-(score first, then start, end, and feature), which makes the result the same in every run.
+(score first, then start, end, and feature; no answer last), which makes the result the same in every run.
+
+Features are windows over a document: (qa, feature, start_scores, end_scores, context_offset, context_length) and, if places
+are to be those of the document, context_shift (document token less place in the window).  Place 0 stands for no answer.
 """
 
 from __future__ import annotations
@@ -11,20 +14,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def best_places(features: DataFrame, scores: str, n: int, names: tuple[str, str]) -> DataFrame:
-    """(qa, feature, place, score) of the ``n`` largest scores of each feature; no window is needed, as one row has them all."""
-    pairs = F.transform(F.col(scores), lambda x, i: F.struct((-x.cast("double")).alias("s"), i.alias("i")))
-    top = features.select("qa", "feature", F.explode(F.slice(F.array_sort(pairs), 1, n)).alias("b"))
-    return top.select("qa", "feature", F.col("b.i").alias(names[0]), (-F.col("b.s")).alias(names[1]))
+def spans(features: DataFrame, n: int, longest: int) -> DataFrame:
+    """Every pair of best start and end that is a span of the context: (qa, feature, start, end, score), in places of the window."""
+    return _spans(features, n, longest).drop("shift")
 
 
-def spans(features: DataFrame, n: int, longest: int) -> DataFrame:
-    """Every pair of best start and end that is a span of the context: (qa, feature, start, end, score)."""
-    a, b = best_places(features, "start_scores", n, ("start", "a")), best_places(features, "end_scores", n, ("end", "b"))
-    both = a.join(b, ["qa", "feature"]).join(features.select("qa", "feature", "context_offset", "context_length"), ["qa", "feature"])
-    last = F.col("context_offset") + F.col("context_length") - 1
-    inside = (F.col("start") >= F.col("context_offset")) & (F.col("end") <= last) & (F.col("end") >= F.col("start")) & (F.col("end") - F.col("start") + 1 <= longest)
-    return both.filter(inside).select("qa", "feature", "start", "end", F.round(F.col("a") + F.col("b"), 6).alias("score"))
+def _spans(features: DataFrame, n: int, longest: int) -> DataFrame:
+    def best(scores: str):
+        pairs = F.transform(F.col(scores), lambda x, i: F.struct((-x.cast("double")).alias("s"), i.alias("i")))
+        return F.slice(F.array_sort(pairs), 1, n)
+
+    shift = F.col("context_shift").cast("int") if "context_shift" in features.columns else F.lit(0)
+    low, high = F.col("context_offset"), F.col("context_offset") + F.col("context_length") - 1
+    both = features.select("qa", "feature", shift.alias("shift"), low.alias("low"), high.alias("high"), F.explode(best("start_scores")).alias("a"), best("end_scores").alias("bs"))
+    both = both.filter((F.col("a.i") >= F.col("low")) & (F.col("a.i") <= F.col("high"))).select("*", F.explode("bs").alias("b"))
+    inside = (F.col("b.i") >= F.col("a.i")) & (F.col("b.i") <= F.col("high")) & (F.col("b.i") - F.col("a.i") + 1 <= longest)
+    return both.filter(inside).select("qa", "feature", F.col("a.i").alias("start"), F.col("b.i").alias("end"), F.round(-F.col("a.s") - F.col("b.s"), 6).alias("score"), "shift")
 
 
 def null_scores(features: DataFrame) -> DataFrame:
@@ -33,25 +38,46 @@ def null_scores(features: DataFrame) -> DataFrame:
     return none.groupBy("qa").agg(F.min(F.struct("score", "feature")).alias("m")).select("qa", "m.feature", "m.score")
 
 
-def n_best(features: DataFrame, n: int, longest: int) -> DataFrame:
-    """(qa, rank, start, end, score, prob): the best distinct spans and no answer (start and end -1), with probabilities."""
-    found = spans(features, n, longest).withColumn("start", F.col("start") - F.col("context_shift") if "context_shift" in features.columns else F.col("start"))
-    first = Window.partitionBy("qa", "start", "end").orderBy(F.desc("score"), "feature")
-    order = Window.partitionBy("qa").orderBy(F.desc("score"), "start", "end", "feature")
-    distinct = found.withColumn("_f", F.row_number().over(first)).filter("_f = 1").drop("_f")
-    kept = distinct.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_r")
-    none = null_scores(features).select("qa", "feature", F.lit(-1).alias("start"), F.lit(-1).alias("end"), "score")
-    pool = kept.unionByName(none)
-    group = Window.partitionBy("qa")
-    exp = F.exp(F.col("score") - F.max("score").over(group))
-    return pool.withColumn("e", exp).select("qa", F.row_number().over(order).alias("rank"), "feature", "start", "end", "score", F.round(F.col("e") / F.sum("e").over(group), 6).alias("prob"))
-
-
-def answers(ranked: DataFrame) -> DataFrame:
-    """(qa, start, end, score_best, score_null): the best span where it beats no answer, else -1."""
-    span = F.col("start") >= 0
-    per = ranked.groupBy("qa").agg(
-        F.min(F.when(span, F.struct("rank", "start", "end", "score"))).alias("m"), F.max(F.when(~span, F.col("score"))).alias("score_null")
-    )
+def n_best(features: DataFrame, n: int, longest: int, tokens: DataFrame | None = None) -> DataFrame:
+    """(qa, rank, feature, start, end, score, prob): the ``n`` best distinct answers of each question, no answer (start and end -1) among them.
+
+    Where no answer isn't among the best ``n`` it follows as one more.  The same place met in several windows counts once, with its
+    best score.  start and end are tokens of the document; with ``tokens`` (qa, tok_i, c_start, c_end; ends exclusive) places
+    are compared, and given as char_start and char_end (inclusive), in signs.  Probabilities are over the rows returned.
+    """
+    start, end = F.col("start") + F.col("shift"), F.col("end") + F.col("shift")
+    nothing = F.col("start") <= 0
+    found = _spans(features, n, longest).select("qa", "feature", F.when(nothing, -1).otherwise(start).alias("start"), F.when(nothing, -1).otherwise(end).alias("end"), "score")
+    found = found.unionByName(null_scores(features).select("qa", "feature", F.lit(-1).alias("start"), F.lit(-1).alias("end"), "score"))
+    place = ["start", "end"]
+    if tokens is not None:
+        place = ["char_start", "char_end"]
+        first = tokens.select("qa", F.col("tok_i").alias("start"), F.col("c_start").alias("char_start"))
+        last = tokens.select("qa", F.col("tok_i").alias("end"), (F.col("c_end") - 1).alias("char_end"))
+        found = found.join(first, ["qa", "start"], "left").join(last, ["qa", "end"], "left")
+        found = found.withColumns({c: F.when(F.col("start") < 0, -1).otherwise(F.col(c)) for c in place})
+    rows = Window.partitionBy("qa")
+    order = rows.orderBy(F.desc("score"), F.col("start") < 0, "start", "end", "feature")
+    one = Window.partitionBy("qa", *place).orderBy(F.desc("score"), "start", "end", "feature")
+    distinct = found.withColumn("_f", F.row_number().over(one)).filter("_f = 1")
+    kept = distinct.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= n) | (F.col("start") < 0))
+    kept = kept.withColumn("rank", F.least("rank", F.lit(n + 1))).withColumn("_e", F.exp(F.col("score") - F.max("score").over(rows)))
+    out = ["qa", "rank", "feature", "start", "end"] + (place if tokens is not None else [])
+    return kept.select(*out, "score", F.round(F.col("_e") / F.sum("_e").over(rows), 6).alias("prob"))
+
+
+def with_text(ranked: DataFrame, documents: DataFrame) -> DataFrame:
+    """``ranked`` with the text of each answer, '' for no answer; documents: (qa, text)."""
+    cut = F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start") + 1)
+    return ranked.join(documents.select("qa", "text"), "qa", "left").withColumn("text", F.when(F.col("start") < 0, F.lit("")).otherwise(cut))
+
+
+def answers(ranked: DataFrame, *keep: str) -> DataFrame:
+    """(qa, start, end, score_best, score_null): the best of all where it beats no answer, else -1; and the columns of ``keep`` ('' likewise)."""
+    best = F.min(F.when(F.col("start") >= 0, F.struct("rank", "start", "end", "score", *keep)))
+    per = ranked.groupBy("qa").agg(best.alias("m"), F.max(F.when(F.col("start") < 0, F.col("score"))).alias("score_null"))
     wins = F.coalesce(F.col("score_null") - F.col("m.score") < 0, F.lit(False))
-    return per.select("qa", F.when(wins, F.col("m.start")).otherwise(-1).alias("start"), F.when(wins, F.col("m.end")).otherwise(-1).alias("end"), F.col("m.score").alias("score_best"), "score_null")
+    return per.select(
+        "qa", F.when(wins, F.col("m.start")).otherwise(-1).alias("start"), F.when(wins, F.col("m.end")).otherwise(-1).alias("end"), F.col("m.score").alias("score_best"), "score_null",
+        *(F.when(wins, F.col(f"m.{c}")).otherwise("").alias(c) for c in keep),
+    )

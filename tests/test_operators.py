@@ -228,3 +228,22 @@ def test_short_numbers(spark):
 def test_file_keys(spark):
     df = spark.createDataFrame([(0, " a&b.c'd--.longext"), (1, "no extension"), (2, None), (3, "x-.pdf")], "i int, t string")
     assert [r.k for r in df.select("i", T.file_key(F.col("t")).alias("k")).orderBy("i").collect()] == ["a_b.c_d-", "", None, "x"]
+
+
+def test_overlapping_windows_share_answers(spark):
+    scores = lambda *at: [float(dict(at).get(i, -5.0)) for i in range(6)]
+    rows = [
+        ("q", 0, scores((0, 1.0), (3, 4.0)), scores((0, 1.0), (3, 4.0)), 2, 3, -2),  # token 1, score 8
+        ("q", 1, scores((0, 0.5), (2, 4.5)), scores((0, 0.5), (2, 4.5)), 2, 3, -1),  # token 1 again, score 9; no answer 1
+        ("none", 0, scores((0, 5.0), (2, 1.0)), scores((0, 5.0), (2, 1.0)), 2, 1, -2),
+    ]
+    df = spark.createDataFrame(rows, "qa string, feature int, start_scores array<double>, end_scores array<double>, context_offset int, context_length int, context_shift int")
+    tokens = spark.createDataFrame([(q, i, 3 * i, 3 * i + 2) for q in ("q", "none") for i in range(4)], "qa string, tok_i int, c_start int, c_end int")
+    texts = spark.createDataFrame([("q", "ab cd ef gh"), ("none", "xx yy zz ww")], "qa string, text string")
+    got = decode.with_text(decode.n_best(df, 2, 3, tokens), texts)
+    best = [(r.qa, r.rank, r.feature, r.start, r.char_start, r.char_end, r.score, r.text) for r in got.orderBy("qa", "rank").collect()]
+    assert best[0] == ("none", 1, 0, -1, -1, -1, 10.0, "") and best[1] == ("none", 2, 0, 0, 0, 1, 2.0, "xx") and len([r for r in best if r[0] == "none"]) == 2
+    assert best[2] == ("q", 1, 1, 1, 3, 4, 9.0, "cd") and len({r[3:6] for r in best if r[0] == "q"}) == len([r for r in best if r[0] == "q"])
+    assert ("q", -1) in {(r[0], r[3]) for r in best}
+    assert {r.qa: r.text for r in decode.answers(got, "text").collect()} == {"q": "cd", "none": ""}
+    assert decode.n_best(df.limit(0), 2, 3, tokens).count() == 0

@@ -1,23 +1,25 @@
 """Problem 1: the same or nearly the same records in evaluation and training splits.
 
-Records become sequences of word codes (words as read, in lower case).  Equal records are
-joined by the hash of the whole canonical sequence.  Records that differ in up to a fifth of
+Records become sequences of word codes of 64 bits (words as read, in lower case).  Equal records are one class, joined by the
+hash of the whole canonical sequence.  Records that differ in up to a fifth of
 the words are found exactly, without sampling: with ``d`` edits allowed, any ``d + e``
 disjoint word pairs of the evaluation record leave at least ``e`` of them whole in its
-partner, at nearly the same place.  The rarest disjoint pairs of each evaluation record
-("pivots") therefore form an index, written in blocks of bounded size to the shared folder;
-training records are streamed against every block, and what shares enough pivots is verified
-by the edit distance itself.
-
-Null and empty texts, and texts under ``MIN_WORDS`` words, take part in nothing.  Copies on the
-evaluation side are indexed once and expanded at the end; a title found in both splits counts
-for both.  Word codes have 30 bits, so two words are confused once in 10^9.
+partner, at nearly the same place.  The rarest disjoint pairs of each evaluation class
+("pivots") form an index, written to the shared folder in blocks of bounded size, each of one range of lengths;
+training records of lengths that can match a block are streamed against it, and what shares enough pivots is verified
+by the edit distance itself.  A text met before in the same task isn't matched again.
+
+The result of the search is pairs of classes.  Counts come from classes and their sizes; only where pairs of records are
+asked for are classes expanded, and then in salted cells of at most ``CELL`` by ``CELL`` records.
+
+Null and empty texts, and texts under ``MIN_WORDS`` words, take part in nothing.  A title found in both splits counts
+for both.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,10 @@ from .shared import kept, small
 MIN_WORDS = 10
 EXTRA = 3  # pivots beyond the edits allowed; a pair must share at least so many
 SLOTS = 1 << 15  # counters of word pairs; their noise only makes the choice of pivots less good
-BLOCK_WORDS = 4_000_000  # words of evaluation records in one block of the index: some 40 MB
+BLOCK_WORDS = 4_000_000  # words of evaluation records in one block of the index: some 100 MB of a worker
+BAND = 1.1  # lengths within this factor stay together when blocks are cut
+CELL = 2000  # members of a class that meet members of another in one cell
+SEEN = 100_000  # texts that a task remembers having matched
 HITS = 2_000_000  # pivots met by training records that are worked on at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -40,7 +45,7 @@ class _Codes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 2_000_000:
             self.clear()
-        self[word] = code = xxhash.xxh32_intdigest(word) >> 2
+        self[word] = code = xxhash.xxh64_intdigest(word)
         return code
 
 
@@ -57,7 +62,7 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rec, part, source, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
             w = words(text)
             if len(w) >= MIN_WORDS:
-                seq = np.fromiter(map(_CODES.__getitem__, w), np.uint32, len(w)).tobytes()
+                seq = np.fromiter(map(_CODES.__getitem__, w), np.uint64, len(w)).tobytes()
                 rows.append((rec, part, source, len(w), xxhash.xxh3_128_digest(" ".join(w)), seq))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), CODED, strict=True)], schema=CODED)
@@ -71,8 +76,7 @@ def coded_records(records: DataFrame, text: str, rec_id: str, part: str, source:
 
 def _grams(codes: np.ndarray) -> np.ndarray:
     """A hash for each pair of neighbouring words, in 44 bits."""
-    c = codes.astype(np.uint64)
-    x = (c[:-1] << np.uint64(32) | c[1:]) * _MIX
+    x = (codes[:-1] * _MIX) ^ codes[1:]
     x ^= x >> np.uint64(29)
     return (x * _MIX) >> np.uint64(20)
 
@@ -81,7 +85,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SLOTS, np.int64)
     for b in small(batches):
         for seq in b.column(0).to_pylist():
-            total += np.bincount((_grams(np.frombuffer(seq, np.uint32)) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+            total += np.bincount((_grams(np.frombuffer(seq, np.uint64)) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "seen"])
 
@@ -108,12 +112,16 @@ def _pivoted(seen: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             h, seq, block = (b.column(i) for i in range(3))
-            at = [pivots(np.frombuffer(s, np.uint32), seen).astype(np.int32).tobytes() for s in seq.to_pylist()]
+            at = [pivots(np.frombuffer(s, np.uint64), seen).astype(np.int32).tobytes() for s in seq.to_pylist()]
             yield pa.RecordBatch.from_arrays([h, seq, pa.array(at, pa.binary()), block], names=["h", "seq", "at", "block"])
 
     return run
 
 
+_BITS = 23
+_LOW = (1 << _BITS) - 1
+
+
 class _Block:
     """Pivots of one block, sorted by word pair and length."""
 
@@ -123,7 +131,7 @@ class _Block:
         where, inner = fs.FileSystem.from_uri(path)
         t = parquet.read_table(inner, filesystem=where, columns=["h", "seq", "at"], partitioning=None)
         self.h = t.column("h").to_pylist()
-        self.seq = [np.frombuffer(s, np.uint32) for s in t.column("seq").to_pylist()]
+        self.seq = [np.frombuffer(s, np.uint64) for s in t.column("seq").to_pylist()]
         self.n = np.array([len(s) for s in self.seq], np.int64)
         at = [np.frombuffer(a, np.int32) for a in t.column("at").to_pylist()]
         self.k = np.array([len(a) for a in at], np.int64)
@@ -133,7 +141,10 @@ class _Block:
         key = key << np.uint64(20) | np.minimum(self.n[own], (1 << 20) - 1).astype(np.uint64)
         order = np.argsort(key, kind="stable")
         self.key, self.own, self.pos = key[order], own[order].astype(np.int32), pos[order].astype(np.int32)
+        self.present = np.zeros(1 << _BITS, bool)  # whether any pivot has these bits: most pairs of a record are in none
+        self.present[(key >> np.uint64(20)).astype(np.int64) & _LOW] = True
         self.sketch: dict[int, int] = {}
+        self.bags: dict[int, np.ndarray] = {}
 
 
 _LAST: dict[str, _Block] = {}
@@ -152,10 +163,18 @@ def _sketch(codes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(out).tobytes(), "little")
 
 
+def _bag(codes: np.ndarray) -> np.ndarray:
+    """The words as a sorted set in which the second, third and further uses of a word are words of their own."""
+    x = np.sort(codes)
+    at = np.arange(len(x))
+    first = np.maximum.accumulate(np.where(np.r_[True, x[1:] != x[:-1]][: len(x)], at, 0))
+    return np.sort(x + (at - first).astype(np.uint64) * _MIX)
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Words in common, each as often as both have it."""
-    one, other = Counter(a.tolist()), Counter(b.tolist())
-    return sum(min(n, other[w]) for w, n in one.items() if w in other)
+    """Words in common of two bags, each as often as both have it."""
+    at = np.searchsorted(a, b)
+    return int((a[np.minimum(at, len(a) - 1)] == b).sum())
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
@@ -190,9 +209,11 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
 def _match(codes: list[np.ndarray], block: _Block, size: int = HITS) -> Iterator[tuple[int, int, int, int]]:
     """(which of codes, which of the block, edits, edits allowed) of every near pair, once."""
     m = np.array([len(c) for c in codes], np.int64)
-    gram = np.concatenate([_grams(c) for c in codes]) << np.uint64(20)
+    gram = np.concatenate([_grams(c) for c in codes])
     who = np.repeat(np.arange(len(codes)), m - 1)
     where = np.concatenate([np.arange(x - 1) for x in m])
+    some = np.flatnonzero(block.present[gram.astype(np.int64) & _LOW])
+    gram, who, where = gram[some] << np.uint64(20), who[some], where[some]
     low, high = np.minimum(-(-4 * m // 5), (1 << 20) - 1), np.minimum(5 * m // 4 + 1, (1 << 20) - 1)
     lo = np.searchsorted(block.key, gram | low[who].astype(np.uint64), "left")
     hi = np.searchsorted(block.key, gram | high[who].astype(np.uint64), "right")
@@ -200,14 +221,20 @@ def _match(codes: list[np.ndarray], block: _Block, size: int = HITS) -> Iterator
     lo, hi, who, where = lo[hit], hi[hit], who[hit], where[hit]
     ends = np.cumsum(hi - lo)
 
+    shift = (lo - (ends - (hi - lo))).astype(np.int64)
+    place, far = where.astype(np.int32), (m[who] // 4 + 1).astype(np.int32)  # no pair allows more edits than that
+
     def hits(a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = (hi - lo)[a:b]
-        flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[a:b], n)
-        t, i, j = np.repeat(who[a:b], n), np.repeat(where[a:b], n), block.pos[flat].astype(np.int64)
-        e = block.own[flat]
+        n, begin = (hi - lo)[a:b], ends[a - 1] if a else 0
+        row = np.repeat(np.arange(a, b, dtype=np.int32), n)
+        flat = np.arange(begin, ends[b - 1]) + shift[row]
+        ok = np.flatnonzero(np.abs(place[row] - block.pos[flat]) <= far[row])
+        row, flat = row[ok], flat[ok]
+        t, j, e = who[row], block.pos[flat].astype(np.int64), block.own[flat]
         d = np.maximum(m[t], block.n[e]) // 5
-        ok = np.flatnonzero((np.abs(i - j) <= d) & (np.abs(m[t] - block.n[e]) <= d))
-        return t[ok] * len(block.h) + e[ok], j[ok], block.k[e[ok]] - d[ok]
+        ok = np.flatnonzero((np.abs(place[row] - j) <= d) & (np.abs(m[t] - block.n[e]) <= d))
+        t, e = t[ok], e[ok]
+        return t * len(block.h) + e, j[ok], block.k[e] - d[ok]
 
     for a, b in _slices(ends, who, size):
         # each pivot of a record counts once for a partner, however often its words recur there
@@ -226,6 +253,7 @@ def _match(codes: list[np.ndarray], block: _Block, size: int = HITS) -> Iterator
         t, e = pair // len(block.h), pair % len(block.h)
         d = np.maximum(m[t], block.n[e]) // 5
         sketches: dict[int, int] = {}
+        bags: dict[int, np.ndarray] = {}
         for x, y, limit in zip(*(v[shared >= block.k[e] - d].tolist() for v in (t, e, d)), strict=True):
             if x not in sketches:
                 sketches[x] = _sketch(codes[x])
@@ -233,7 +261,11 @@ def _match(codes: list[np.ndarray], block: _Block, size: int = HITS) -> Iterator
                 block.sketch[y] = _sketch(block.seq[y])
             p, q = sketches[x], block.sketch[y]
             if (p & ~q).bit_count() <= limit and (q & ~p).bit_count() <= limit:
-                if max(len(codes[x]), len(block.seq[y])) - _common(codes[x], block.seq[y]) <= limit:
+                if x not in bags:
+                    bags[x] = _bag(codes[x])
+                if y not in block.bags:
+                    block.bags[y] = _bag(block.seq[y])
+                if max(len(codes[x]), len(block.seq[y])) - _common(bags[x], block.bags[y]) <= limit:
                     edits = edit_distance(codes[x], block.seq[y], limit)
                     if edits <= limit:
                         yield x, y, edits, limit
@@ -254,57 +286,122 @@ def _slices(ends: np.ndarray, who: np.ndarray, size: int) -> Iterator[tuple[int,
         a = int(last[k - 1])
 
 
-NEAR = pa.schema([("rec_id", pa.int64()), ("h", pa.binary()), ("edits", pa.int32())])
+NEAR = pa.schema([("corpus_h", pa.binary()), ("query_h", pa.binary()), ("edits", pa.int32())])
+CLASSES = "corpus_h binary, query_h binary, edits int"
 
 
-def _near(paths: list[str]):
+def _near(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[list[int]] = []
-        seqs: list[list[np.ndarray]] = []
-        for b in small(batches):  # one partition of the training side: its size is that of a file split
-            ids.append(b.column(0).to_pylist())
-            seqs.append([np.frombuffer(s, np.uint32) for s in b.column(1).to_pylist()])
-        for path in paths if ids else []:
-            block = _block(path)
-            if not len(block.key):
-                continue
-            for rec, codes in zip(ids, seqs, strict=True):
-                for a in range(0, len(codes), 64):
-                    some = codes[a : a + 64]
-                    found = [(rec[a + x], block.h[y], d) for x, y, d, _ in _match(some, block) if d]
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), NEAR, strict=True)], schema=NEAR)
+        seen: set[bytes] = set()
+        block = None
+        for b in small(batches, 64):
+            block = block or _block(path)
+            if len(seen) > SEEN:
+                seen.clear()
+            own, some = [], []
+            for h, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if h not in seen:
+                    seen.add(h)
+                    own.append(h)
+                    some.append(np.frombuffer(seq, np.uint64))
+            found = [(own[x], block.h[y], d) for x, y, d, _ in _match(some, block) if d] if some and len(block.key) else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), NEAR, strict=True)], schema=NEAR)
 
     return run
 
 
-def cross_split_pairs(coded: DataFrame, query: str = "test", corpus: str = "train") -> DataFrame:
-    """(query_id, corpus_id, edits) of every record pair of the two parts within a fifth of the longer one's words.
+def _ranges(words: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(first band, last band, blocks) so that no block has many more than ``BLOCK_WORDS`` of the bands' words; only a single band is cut further."""
+    out: list[tuple[int, int, int]] = []
+    total = 0
+    for band in sorted(words):
+        if out and total + words[band] <= BLOCK_WORDS:
+            out[-1] = (out[-1][0], band, 1)
+            total += words[band]
+        else:
+            out.append((band, band, -(-words[band] // BLOCK_WORDS)))
+            total = words[band]
+    return out
+
+
+def cross_split_classes(coded: DataFrame, query: str = "test", corpus: str = "train") -> DataFrame:
+    """(corpus_h, query_h, edits) of every pair of texts, one of each part, within a fifth of the longer one's words; equal ones have 0 edits.
 
     ``coded`` comes from ``coded_records`` and should be a written table, as it is read several times.
     """
     ours, theirs = coded.filter(F.col("part") == query), coded.filter(F.col("part") == corpus)
-    members = ours.select("h", F.col("rec_id").alias("query_id"))
-    exact = theirs.select("h", F.col("rec_id").alias("corpus_id")).join(members, "h").select("query_id", "corpus_id", F.lit(0).alias("edits"))
-    size = ours.agg(F.sum("n")).first()[0]
-    if not size:
+    both = ours.select("h").intersect(theirs.select("h"))
+    exact = both.select(F.col("h").alias("corpus_h"), F.col("h").alias("query_h"), F.lit(0).alias("edits"))
+    band = F.floor(F.log("n") / np.log(BAND)).cast("int")
+    sizes = {r.band: r.words for r in ours.groupBy(band.alias("band")).agg(F.sum("n").alias("words")).collect()}  # one row a band of lengths
+    if not sizes:
         return exact
     seen = np.zeros(SLOTS, np.int64)
     for r in theirs.select("seq").mapInArrow(_count, "slot long, seen long").groupBy("slot").agg(F.sum("seen").alias("seen")).toLocalIterator():
         seen[r.slot] = r.seen  # one row for each of the SLOTS counters at most
-    blocks = -(-size // BLOCK_WORDS)
-    distinct = ours.select("h", "seq").dropDuplicates(["h"]).withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int"))
-    index = kept(distinct.repartition(max(1, min(200, blocks * 6)), "h").mapInArrow(_pivoted(seen), "h binary, seq binary, at binary, block int"), "block")
-    paths = [f"{index.kept_at}/block={i}" for i in range(blocks) if _exists(index, i)]
-    near = theirs.select("rec_id", "seq").mapInArrow(_near(paths), "rec_id long, h binary, edits int")
-    near = near.join(members, "h").select("query_id", F.col("rec_id").alias("corpus_id"), "edits")
-    return exact.unionByName(near)
-
-
-def _exists(index: DataFrame, block: int) -> bool:
-    spark = index.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{index.kept_at}/block={block}")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    ranges = _ranges(sizes)
+    block = reduce(lambda c, r: c.when(band.between(r[1][0], r[1][1]), F.concat(F.lit(f"{r[0]}-"), F.pmod(F.xxhash64("h"), F.lit(r[1][2])).cast("string"))), enumerate(ranges), F)
+    blocks = sum(r[2] for r in ranges)
+    distinct = ours.select("h", "n", "seq").dropDuplicates(["h"]).select("h", "seq", block.alias("block"))
+    pivoted = distinct.repartition(max(6, blocks), "block", F.pmod(F.xxhash64("h"), F.lit(6))).mapInArrow(_pivoted(seen), "h binary, seq binary, at binary, block string")
+    index = kept(pivoted, "block")
+    have = {r.block for r in index.select("block").distinct().collect()}
+    near = []
+    for i, (first, last, k) in enumerate(ranges):
+        fits = theirs.filter((F.col("n") >= int(0.8 * BAND**first) - 1) & (F.col("n") <= int(1.25 * BAND ** (last + 1)) + 2)).select("h", "seq")
+        near += [fits.mapInArrow(_near(f"{index.kept_at}/block={i}-{j}"), CLASSES) for j in range(k) if f"{i}-{j}" in have]
+    return reduce(DataFrame.unionByName, near, exact).distinct()
+
+
+def class_members(coded: DataFrame) -> DataFrame:
+    """(part, h, members): how many records of each part have each text."""
+    return coded.groupBy("part", "h").agg(F.count("*").alias("members"))
+
+
+def expanded(classes: DataFrame, coded: DataFrame, query: str = "test", corpus: str = "train") -> DataFrame:
+    """(query_id, corpus_id, edits) of every pair of records of each pair of classes, made in cells of at most some ``CELL`` by ``CELL``."""
+    sizes = class_members(coded).withColumn("cells", F.ceil(F.col("members") / CELL).cast("int"))
+    out = classes
+    for side, part in (("query", query), ("corpus", corpus)):
+        own = sizes.filter(F.col("part") == part).select(F.col("h").alias(f"{side}_h"), F.col("cells").alias(f"{side}_cells"))
+        out = out.join(own, f"{side}_h")
+    cell = lambda side: F.explode(F.sequence(F.lit(0), F.col(f"{side}_cells") - 1)).alias(f"{side}_cell")
+    cells = kept(out.select("*", cell("query")).select("*", cell("corpus")))
+    key = ["corpus_h", "query_h", "edits", "query_cell", "corpus_cell"]
+    sides = []
+    for side, part in (("query", query), ("corpus", corpus)):
+        members = coded.filter(F.col("part") == part).select(F.col("h").alias(f"{side}_h"), F.col("rec_id").alias(f"{side}_id"))
+        placed = members.join(cells.select(f"{side}_h", f"{side}_cells").distinct(), f"{side}_h")
+        placed = placed.select(f"{side}_h", f"{side}_id", F.pmod(F.xxhash64(f"{side}_id"), F.col(f"{side}_cells")).cast("int").alias(f"{side}_cell"))
+        sides.append(placed.join(cells.select(*key), [f"{side}_h", f"{side}_cell"]))
+    return sides[0].join(sides[1], key).select("query_id", "corpus_id", "edits")
+
+
+def cross_split_pairs(coded: DataFrame, query: str = "test", corpus: str = "train") -> DataFrame:
+    """(query_id, corpus_id, edits) of every pair of records of the two parts within a fifth of the longer one's words."""
+    return expanded(kept(cross_split_classes(coded, query, corpus)), coded, query, corpus)
+
+
+def overlap_counts(coded: DataFrame, classes: DataFrame, query: str = "test", corpus: str = "train") -> DataFrame:
+    """(split, source, records, with_equal, with_near, pairs): from classes and their sizes, never from pairs of records.
+
+    A record that is in both parts is no partner of its own.
+    """
+    parts = coded.groupBy("rec_id").agg(F.countDistinct("part").alias("parts")).filter("parts > 1").select("rec_id", F.lit(1).alias("self"))
+    grouped = coded.join(parts, "rec_id", "left").groupBy("part", "h", "source", F.coalesce("self", F.lit(0)).alias("self")).agg(F.count("*").alias("records"))
+    sizes, each = class_members(coded), None
+    for part, own, other, theirs in ((query, "query_h", "corpus_h", corpus), (corpus, "corpus_h", "query_h", query)):
+        partners = classes.join(sizes.filter(F.col("part") == theirs).select(F.col("h").alias(other), "members"), other)
+        per = partners.groupBy(F.col(own).alias("h")).agg(
+            F.sum(F.when(F.col("edits") == 0, F.col("members")).otherwise(0)).alias("equal"), F.sum(F.when(F.col("edits") > 0, F.col("members")).otherwise(0)).alias("near")
+        )
+        rows = grouped.filter(F.col("part") == part).join(per, "h", "left").fillna(0, ["equal", "near"]).withColumn("equal", F.col("equal") - F.least("equal", "self"))
+        each = rows if each is None else each.unionByName(rows)
+    some = lambda c: F.sum(F.when(F.col(c) > 0, F.col("records")).otherwise(0))
+    return each.groupBy(F.col("part").alias("split"), "source").agg(
+        F.sum("records").alias("records"), some("equal").alias("with_equal"), some("near").alias("with_near"), F.sum(F.col("records") * (F.col("equal") + F.col("near"))).alias("pairs")
+    )
 
 
 def split_paragraphs(paras: DataFrame, train: DataFrame, test: DataFrame) -> DataFrame:

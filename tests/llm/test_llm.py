@@ -61,6 +61,28 @@ def test_near_pairs_equal_brute_force(spark):
     assert overlap.cross_split_pairs(empty).count() == 0
 
 
+def test_blocks_by_length_and_cells_of_hot_classes(spark, monkeypatch):
+    rng = random.Random(21)
+    texts = near_texts(rng, 60) + [" ".join(f"hot{i}" for i in range(20))] * 40 + [" ".join(f"hot{i}" for i in range(19)) + " cold"] * 30
+    rows = [(i, "test" if i % 4 == 0 else "train", "s" + str(i % 3), t) for i, t in enumerate(texts)] + [(5, "test", "s2", texts[5]), (100, "train", "s1", texts[100])]
+    coded = kept(overlap.coded_records(spark.createDataFrame(rows, "rec long, side string, src string, body string"), "body", "rec", "side", "src"))
+    one = sorted(map(tuple, overlap.cross_split_pairs(coded).collect()))
+    monkeypatch.setattr(overlap, "BLOCK_WORDS", 100)
+    monkeypatch.setattr(overlap, "CELL", 4)
+    classes = kept(overlap.cross_split_classes(coded))
+    assert sorted(map(tuple, overlap.expanded(classes, coded).collect())) == one and len(one) > 700
+    want = {}
+    for i, p, src, _ in rows:
+        own = [(q, c, e) for q, c, e in one if (q if p == "test" else c) == i and q != c]
+        a = want.setdefault((p, src), [0, 0, 0, 0])
+        if len(words(dict((r[0], r[3]) for r in rows)[i])) >= overlap.MIN_WORDS:
+            for k, v in enumerate((1, any(e == 0 for *_, e in own), any(e > 0 for *_, e in own), len(own))):
+                a[k] += v
+    got = {(r.split, r.source): [r.records, r.with_equal, r.with_near, r.pairs] for r in overlap.overlap_counts(coded, classes).collect()}
+    assert got == {k: v for k, v in want.items() if v[0]}
+    assert overlap._ranges({1: 60, 2: 30, 3: 50, 7: 250, 8: 1}) == [(1, 2, 1), (3, 3, 1), (7, 7, 3), (8, 8, 1)]
+
+
 def test_edit_distance_and_long_texts():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -74,7 +96,7 @@ def test_edit_distance_and_long_texts():
 
 def test_slices_of_hits_lose_and_repeat_no_pair(tmp_path):
     rng = random.Random(9)
-    coded = [np.array([int(w[1:]) % 12 for w in t.split()], np.uint32) for t in near_texts(rng, 120)]
+    coded = [np.array([int(w[1:]) % 12 for w in t.split()], np.uint64) for t in near_texts(rng, 120)]
     ours, theirs = [c for c in coded[:40] if len(c) >= 10], [c for c in coded[40:] if len(c) >= 10]
     at = [overlap.pivots(c, np.zeros(overlap.SLOTS, np.int64)).astype(np.int32).tobytes() for c in ours]
     pq.write_table(pa.table({"h": [bytes([i]) for i in range(len(ours))], "seq": [c.tobytes() for c in ours], "at": at}), tmp_path / "x.parquet")

@@ -52,14 +52,20 @@ def fold_key(text: Column) -> Column:
     return folded_key(text)
 
 
-def reads_equal(a: Column, b: Column) -> Column:
-    """Whether two texts look the same; null if one is null."""
+def span_form(text: Column) -> Column:
+    """The consistent form by which spans are compared: blanks collapsed, case kept; worked out once for each distinct text of a batch."""
+    run = _per_distinct(span_key, pa.string())
+
+    @arrow_udf("string")
+    def form_of_span(v: pa.Array) -> pa.Array:
+        return run(v)
+
+    return form_of_span(text)
 
-    @arrow_udf("boolean")
-    def look_same(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([None if p is None or q is None else span_key(p) == span_key(q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.bool_())
 
-    return look_same(a, b)
+def reads_equal(a: Column, b: Column) -> Column:
+    """Whether two texts look the same; null if one is null."""
+    return span_form(a) == span_form(b)
 
 
 def lookalike_spans(answers: DataFrame, contracts: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import kept, table
-from .together import grouped_split, title_components
+from .together import balance, grouped_split, title_components
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +17,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of.join(test, "title", "left_semi").join(leaking, "component", "left_semi").select("title")
 
 
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "train_meta").select("title", "q_id").unionByName(table(spark, sf_dir, "test_meta_id").select("title", "q_id"))
+
+
 def p3_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train, validation or test for every title, whole groups of tied titles together."""
-    both = table(spark, sf_dir, "train_meta").select("title", "q_id").unionByName(table(spark, sf_dir, "test_meta_id").select("title", "q_id"))
-    return grouped_split(both, F.col("q_id"))
+    return grouped_split(_samples(spark, sf_dir), F.col("q_id"))
+
+
+def p3_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the rows of each question fall on the three splits."""
+    both = _samples(spark, sf_dir)
+    return balance(both, F.col("q_id"), kept(grouped_split(both, F.col("q_id"))))
 
 
-QUERIES = {"p3_found": p3_found, "p3_split": p3_split}
+QUERIES = {"p3_found": p3_found, "p3_split": p3_split, "p3_balance": p3_balance}

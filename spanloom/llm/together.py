@@ -3,11 +3,11 @@
 Filers named in one title are linked; components of these links are found by alternating star
 contraction, each round written to the shared folder.  The label vectors of components go into
 a bounded number of bundles (a component above ``1 / BUNDLES`` of all rows is a bundle of its own,
-the others are bundled by hash, so no component is divided), and only those vectors reach the
+the others are bundled by hash, so no component is divided), and only those vectors, one row a bundle, reach the
 driver, which places the bundle with the rarest outstanding label first into the split needing
-it most.
+it most.  A bundle is then as exact as a component down to 1/8,192 of all rows; what that costs is shown by ``balance``.
 
-Null titles and titles without a filer's name get no split.
+Null titles get no split; a title without a filer's name is a component of its own.
 """
 
 from __future__ import annotations
@@ -20,11 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.window import Window
 
 from .asread import as_read
 from .shared import kept
 
-BUNDLES = 1024
+BUNDLES = 8192
+MOVES = 32  # bundles compared for each closing move
+CELL = 100_000  # titles of one filer that are joined with their component by a shuffle
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 # Closing legal forms that don't make another filer, and the signs between two filers.
@@ -76,13 +79,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def title_components(titles: DataFrame) -> DataFrame:
-    """(title, component) of every distinct title that names a filer."""
-    named = titles.select("title").filter("title is not null").distinct().select("title", filers_of("title").alias("f")).filter(F.size("f") > 0)
-    named = kept(named)
+    """(title, component) of every distinct title; one that names no filer is its own component."""
+    named = kept(titles.select("title").filter("title is not null").distinct().select("title", filers_of("title").alias("f")))
     linked = named.filter(F.size("f") > 1).select(F.col("f")[0].alias("a"), F.explode(F.slice("f", 2, 1 << 30)).alias("b"))
     comp = components(linked)
-    first = named.select("title", F.col("f")[0].alias("node"))
-    return first.join(comp, "node", "left").select("title", F.coalesce("component", "node").alias("component"))
+    alone = F.concat(F.lit("title "), "title")  # keys of filers have no blank
+    first = named.select("title", F.coalesce(F.get("f", F.lit(0)), alone).alias("node"))
+    # a filer may have a third of all titles; filers with more than CELL are at most one in CELL titles, and don't go through a shuffle
+    hot = kept(first.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > CELL).join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    rest = first.join(F.broadcast(hot.select("node")), "node", "left_anti").join(comp, "node", "left")
+    return first.join(F.broadcast(hot), "node").select("title", "component").unionByName(rest.select("title", F.coalesce("component", "node").alias("component")))
 
 
 def stratify(vectors: np.ndarray, shares: list[float]) -> np.ndarray:
@@ -104,17 +110,21 @@ def stratify(vectors: np.ndarray, shares: list[float]) -> np.ndarray:
             s = np.lexsort((-want.sum(1), -want[:, label]))[0]
             where[i] = s
             want[s] -= vectors[i]
-    goal, have = np.array(shares) * rows.sum(), np.array([rows[where == s].sum() for s in range(len(shares))], float)
+    goal = np.outer(shares, vectors.sum(0))
+    have = np.array([vectors[where == s].sum(0) for s in range(len(shares))], float)
     for _ in range(4 * len(vectors)):
-        over, under = np.argmax(have - goal), np.argmin(have - goal)
-        gap = min(have[over] - goal[over], goal[under] - have[under])
+        over_by = have.sum(1) - goal.sum(1)
+        over, under = np.argmax(over_by), np.argmin(over_by)
+        gap = min(over_by[over], -over_by[under])
         can = np.flatnonzero((where == over) & (rows > 0) & (rows < 2 * gap))
         if not len(can):
             break
-        i = can[np.argmin(np.abs(rows[can] - gap))]
+        can = can[np.argsort(np.abs(rows[can] - gap), kind="stable")[:MOVES]]  # of those of nearly the right size, what leaves the labels best
+        off = np.abs(have[over] - vectors[can] - goal[over]).sum(1) + np.abs(have[under] + vectors[can] - goal[under]).sum(1)
+        i = can[np.argmin(off)]
         where[i] = under
-        have[over] -= rows[i]
-        have[under] += rows[i]
+        have[over] -= vectors[i]
+        have[under] += vectors[i]
     return where
 
 
@@ -127,12 +137,25 @@ def grouped_split(samples: DataFrame, label: Column, shares: dict[str, float] =
     total = counts.agg(F.sum("rows")).first()[0] or 0
     small = F.concat(F.lit("#"), F.pmod(F.xxhash64("component"), F.lit(bundles)).cast("string"))
     bundle = kept(per.select("component", F.when(F.col("all_rows") * bundles >= total, F.concat(F.lit("="), "component")).otherwise(small).alias("bundle")))
-    vectors = counts.join(bundle, "component").groupBy("bundle", "label").agg(F.sum("rows").alias("rows")).toPandas()
-    spark = samples.sparkSession
-    if vectors.empty:
-        return of.withColumn("split", F.lit(None).cast("string"))
-    wide = vectors.fillna({"label": ""}).pivot_table(index="bundle", columns="label", values="rows", aggfunc="sum", fill_value=0).sort_index()
+    labels = [r.label for r in counts.select("label").distinct().orderBy("label").collect()]  # of few values
     names = list(shares)
-    at = stratify(wide.to_numpy(np.int64), [shares[n] for n in names])
-    chosen = spark.createDataFrame([(b, names[s]) for b, s in zip(wide.index, at, strict=True)], "bundle string, split string")
+    if not labels:
+        return of.withColumn("split", F.lit(None).cast("string"))
+    at = F.array_position(F.array(*(F.coalesce(F.lit(x), F.lit("\0")) for x in labels)), F.coalesce("label", F.lit("\0")))
+    per = counts.join(bundle, "component").groupBy("bundle", at.cast("int").alias("k")).agg(F.sum("rows").alias("rows"))
+    per = per.groupBy("bundle").agg(F.collect_list(F.struct("k", "rows")).alias("v")).orderBy("bundle")  # the labels of one bundle
+    found = per.toPandas()  # 2 x BUNDLES rows at most
+    vectors = np.zeros((len(found), len(labels)), np.int64)
+    for i, v in enumerate(found["v"]):
+        for x in v:
+            vectors[i, x["k"] - 1] = x["rows"]
+    at = stratify(vectors, [shares[n] for n in names])
+    chosen = samples.sparkSession.createDataFrame([(b, names[s]) for b, s in zip(found["bundle"], at.tolist(), strict=True)], "bundle string, split string")
     return of.join(bundle.join(F.broadcast(chosen), "bundle"), "component").select("title", "component", "split")
+
+
+def balance(samples: DataFrame, label: Column, split: DataFrame) -> DataFrame:
+    """(label, split, rows, share): how the rows of each label fall on the splits; label null is one of its own.  ``split`` has each title once."""
+    rows = samples.filter("title is not null").groupBy("title", label.cast("string").alias("label")).agg(F.count("*").alias("rows"))
+    rows = rows.join(split.select("title", "split"), "title").groupBy("label", "split").agg(F.sum("rows").alias("rows"))
+    return rows.withColumn("share", F.round(F.col("rows") / F.sum("rows").over(Window.partitionBy("label")), 6))

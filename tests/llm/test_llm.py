@@ -150,19 +150,25 @@ def test_components_of_a_long_chain(spark):
     assert together.components(edges.limit(0)).count() == 0
 
 
-def test_groups_stay_together_and_shares_are_met(spark):
+def test_groups_stay_together_and_shares_are_met(spark, monkeypatch):
     rng = random.Random(2)
     titles = [f"F{chr(65 + i // 26)}{chr(65 + i % 26)} Co{'' if rng.random() < 0.8 else f' & F{chr(65 + i % 7)}A Co'}_1-{k}" for i in range(150) for k in range(rng.randrange(1, 4))]
     rows = [(t, rng.randrange(5), "l", 1) for t in titles for _ in range(rng.randrange(1, 6))] + [(None, 1, "l", 1), ("_nobody", None, "l", 1)]
     df = spark.createDataFrame(rows, "title string, q_id int, label string, rows int")  # label and rows clash with inner names
     got = together.grouped_split(df, F.col("q_id")).collect()
-    assert {r.title for r in got} == set(titles) and len(got) == len(set(titles))
+    assert {r.title for r in got} == set(titles) | {"_nobody"} and len(got) == len(set(titles)) + 1  # a title without a filer is a group of its own
+    assert [r.component for r in got if r.title == "_nobody"] == ["title _nobody"]
     by = {}
     for r in got:
         by.setdefault(r.component, set()).add(r.split)
     assert all(len(s) == 1 for s in by.values())
     n = {s: sum(1 for t, *_ in rows if t in {r.title for r in got if r.split == s}) for s in together.SHARES}
     assert all(abs(n[s] / sum(n.values()) - share) < 0.02 for s, share in together.SHARES.items())
+    even = together.balance(df, F.col("q_id"), together.grouped_split(df, F.col("q_id"))).collect()
+    assert sum(r.rows for r in even) == len(rows) - 1 and all(abs(r.share - together.SHARES[r.split]) < 0.1 for r in even if r.label is not None)
+    monkeypatch.setattr(together, "CELL", 3)  # filers with more titles are joined in another way
+    hot = {(r.title, r.component) for r in together.title_components(df).collect()}
+    assert hot == {(r.title, r.component) for r in got}
     assert together.grouped_split(df.limit(0), F.col("q_id")).count() == 0
 
 

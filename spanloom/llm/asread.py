@@ -69,6 +69,18 @@ class _Table(dict):
 
 
 _TABLE = _Table()
+
+
+class _Steady(dict):
+    """Whether a character stays as it is, whatever stands beside it; filled as characters are met."""
+
+    def __missing__(self, c: str) -> bool:
+        joins = unicodedata.category(c)[0] == "M" or "\u1100" <= c <= "\u11ff"  # marks and parts of syllables
+        self[c] = out = not joins and unicodedata.normalize("NFC", unicodedata.normalize("NFD", c).translate(_TABLE)) == c
+        return out
+
+
+_STEADY = _Steady()
 _CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]")
 
 
@@ -80,6 +92,8 @@ def as_read(text: str | None) -> str | None:
         text = text.replace("\r\n", "\n")
     if text.isascii():
         return text.translate(_TABLE) if _CONTROL.search(text) else text
+    if all(map(_STEADY.__getitem__, set(text))):
+        return text
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_TABLE))
 
 

@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from .asread import as_read
 from .shared import small
 
-SAMPLE_DOCS = 1500  # labelled documents the classifier is fitted on, at most
+SAMPLE_DOCS = 1500  # labelled documents the classifier is fitted on, an equal part of them for each language, about
 CLUSTERS = 3
 DIM = 1 << 15
 MIN_WORDS = 7
+STRETCH = 3  # words a stretch must have to be judged by itself; a text with only shorter ones is judged as a whole
 REJECT = 0.5  # share of the 1st percentile of the sample's own cosines under which a sentence has no language
 
 # Names of a language in labels, by its code; and labels that name none.
@@ -46,7 +47,9 @@ NAMES = {
 NO_LABEL = ("", "unknown", "n/a", "na", "und", "undetermined", "none", "null", "unk", "mis", "zxx", "?", "-")
 
 # A closing sign before a small letter closes nothing (Inc., Corp.), nor does one after a day's number.
-_END = re.compile(r"(?<!\s\d)(?<!\s\d\d)[.!?](?:[\"'”’»)]{0,2}|\s?\([^()\n]{1,40}\)[.!?]?)(?=\s+[^\sa-zà-öø-ÿ]|\s*$)|[。！？]")
+_END = re.compile(
+    r"[.!?。！？](?:(?<=[。！？])|(?<!\s\d[.!?])(?<!\s\d\d[.!?])(?:[\"'”’»)]{0,2}|\s?\([^()\n]{1,40}\)[.!?]?)(?=\s+[^\sa-zà-öø-ÿ]|\s*$))"
+)
 _ASIDE = re.compile(r"\([^()\n]*\)")
 _QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -161,7 +164,10 @@ class Centroids:
         return out.reshape(len(texts), len(self.langs), -1).max(2)
 
     def decide(self, texts: list[list[str]]) -> tuple[list[str | None], np.ndarray]:
-        """Language and confidence of each text; none where it is too far from every centroid."""
+        """Language and confidence of each text; none (and 0) where it is too far from every centroid.
+
+        Confidence is the best cosine's part of the best two languages' sum: 0.5 is a draw, 1 no likeness with any other.
+        """
         c = self.cosines(texts)
         if not len(c):
             return [], np.zeros(0)
@@ -207,10 +213,13 @@ def _clusters(row: np.ndarray, gram: np.ndarray, value: np.ndarray, members: np.
 
 
 def labelled_sentences(documents: DataFrame, limit: int = SAMPLE_DOCS) -> list[tuple[str, list[str]]]:
-    """Sentences of at most ``limit`` labelled documents, chosen by a hash of their ids."""
+    """Sentences of about ``limit`` labelled documents (never twice as many), as many for each language, chosen by a hash of their ids."""
     known = documents.select("doc_id", "text", label_code(F.col("lang")).alias("code")).filter(F.col("code").isin(*NAMES) & F.col("text").isNotNull())
-    total = known.count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, limit / max(1, total)))
+    sizes = {r.code: r.n for r in known.groupBy("code").agg(F.count("*").alias("n")).collect()}  # one row a language
+    part = F.lit(0)
+    for code, n in sizes.items():
+        part = F.when(F.col("code") == code, int(1_000_000 * min(1.0, limit / len(sizes) / n))).otherwise(part)
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part
     out = []
     for r in known.filter(share).limit(2 * limit).toLocalIterator():
         text = shown(r.text)
@@ -236,11 +245,13 @@ def classified(documents: DataFrame, model: Centroids) -> DataFrame:
             rows, texts = [], []
             for d, text, label in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = shown(text)
-                for a, z, closed in sentences(text):
-                    ws = plain_words(text[a:z])
-                    if len(ws) >= 3:
-                        rows.append((d, label, a, z, len(ws), closed))
-                        texts.append(ws)
+                own = [(a, z, closed, ws) for a, z, closed in sentences(text) if (ws := plain_words(text[a:z]))]
+                long = [x for x in own if len(x[3]) >= STRETCH]
+                if own and not long:  # all of the text together, as no stretch says enough by itself
+                    long = [(own[0][0], own[-1][1], False, [w for x in own for w in x[3]])]
+                for a, z, closed, ws in long:
+                    rows.append((d, label, a, z, len(ws), closed))
+                    texts.append(ws)
             langs, sure = shared.value.decide(texts)
             if rows:
                 cols = [*zip(*rows, strict=True), langs, sure.astype(float)]

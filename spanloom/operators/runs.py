@@ -41,3 +41,21 @@ def recently_used(rows: DataFrame, by: list[str], item: str, time: str) -> DataF
 def clamped(index: Column, n: Column, last: Column) -> Column:
     """An index brought into range; -1 stands for the last one viewed."""
     return F.greatest(F.lit(0), F.least(F.when(index == -1, last).otherwise(index), n - 1))
+
+
+def ordered_buckets(rows: DataFrame, order: str, n: int = 64) -> Column:
+    """A number that rises with ``order`` (its bounds are a sample of at most 1,000 values), by which rows in one order can be worked on side by side."""
+    sample = sorted(r[0] for r in rows.select(order).filter(F.col(order).isNotNull()).distinct().orderBy(F.xxhash64(order)).limit(1000).collect())
+    bounds = sample[:: max(1, len(sample) // n)]
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+
+
+def running_sums(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """``rows`` with sum_<column>, summed up in the order of a unique column: windows within ordered buckets, plus the sums of the buckets before."""
+    placed = rows.withColumn("_b", ordered_buckets(rows, order))
+    sums = placed.groupBy("_b").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_b", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in columns])  # a row a bucket
+    own = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ran = placed.join(F.broadcast(sums), "_b").withColumns({f"sum_{c}": F.sum(c).over(own) + F.col(f"_{c}") for c in columns})
+    return ran.drop("_b", *[f"_{c}" for c in columns])

@@ -65,8 +65,9 @@ def negatives_per_part(positives: DataFrame, labels: DataFrame, count: int, seed
     return take(free, ["doc", "part"], ["doc", "part", "label"], F.lit(count), seed)
 
 
-def balance(rows: DataFrame, by: list[str], keys: list[str], positive: Column, seed: int, when_none: int = 1) -> DataFrame:
-    """All positive rows of each group and as many others; ``when_none`` others of a group without a positive."""
-    per = rows.groupBy(*by).agg(F.sum(positive.cast("int")).alias("_k")).withColumn("_most", F.when(F.col("_k") > 0, F.col("_k")).otherwise(F.lit(when_none)))
+def balance(rows: DataFrame, by: list[str], keys: list[str], positive: Column, seed: int, when_none: int | Column = 1) -> DataFrame:
+    """All positive rows of each group and as many others; ``when_none`` (a number, or an aggregate of the group) others of a group without a positive."""
+    none = when_none if isinstance(when_none, Column) else F.lit(when_none)
+    per = rows.groupBy(*by).agg(F.sum(positive.cast("int")).alias("_k"), none.alias("_none")).withColumn("_most", F.when(F.col("_k") > 0, F.col("_k")).otherwise(F.col("_none"))).drop("_none")
     others = take(rows.filter(~positive).join(per, by), by, keys, F.col("_most"), seed)
     return rows.filter(positive).unionByName(others.select(*rows.columns))

@@ -7,11 +7,8 @@ empty texts have no part.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
 
@@ -23,36 +20,23 @@ def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
     return placed.filter("length > 0").select(key, (F.row_number().over(Window.partitionBy(key).orderBy("i")) - 1).alias("para_idx"), "offset", "length", "text")
 
 
-@arrow_udf(ArrayType(IntegerType()))
-def _fold(lengths: pa.Array, least: pa.Array) -> pa.Array:
-    """Group numbers: a group takes items while it is shorter than ``least``."""
-    out = []
-    for row, limit in zip(lengths.to_pylist(), least.to_pylist(), strict=True):
-        groups, g, size = [], -1, limit
-        for n in row or ():
-            if size >= limit:
-                g, size = g + 1, n
-            else:
-                size += n + 1
-            groups.append(g)
-        out.append(groups)
-    return pa.array(out, pa.list_(pa.int32()))
-
-
-@arrow_udf(ArrayType(IntegerType()))
-def _pack(lengths: pa.Array, most: pa.Array) -> pa.Array:
-    """Group numbers: a group takes items while it stays within ``most``; a larger item is a group of its own."""
-    out = []
-    for row, limit in zip(lengths.to_pylist(), most.to_pylist(), strict=True):
-        groups, g, size = [], -1, limit + 1
-        for n in row or ():
-            if size + n > limit:
-                g, size = g + 1, n
-            else:
-                size += n
-            groups.append(g)
-        out.append(groups)
-    return pa.array(out, pa.list_(pa.int32()))
+def _fold(lengths: Column, new, grown) -> Column:
+    """Group numbers: an item opens a group where ``new`` (size of the open group, item) says so, else the group grows to ``grown`` of the two.
+
+    Only the places where groups open are gathered on the way.
+    """
+    begin = F.struct(F.lit(None).cast("bigint").alias("size"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
+
+    def step(acc, n):
+        opens = acc["size"].isNull() | new(acc["size"], n)
+        return F.struct(
+            F.when(opens, n.cast("bigint")).otherwise(grown(acc["size"], n).cast("bigint")).alias("size"), (acc["i"] + 1).alias("i"),
+            F.when(opens, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"),
+        )
+
+    starts = F.aggregate(lengths, begin, step, lambda acc: acc["starts"])
+    after = lambda g: F.coalesce(F.get(starts, g + 1), F.size(lengths))
+    return F.flatten(F.transform(starts, lambda s, g: F.array_repeat(g, after(g) - s)))
 
 
 def _grouped(items: DataFrame, key: str, order: str, size: str, fold: Column) -> DataFrame:
@@ -65,17 +49,17 @@ def _grouped(items: DataFrame, key: str, order: str, size: str, fold: Column) ->
 
 def merge_short(items: DataFrame, key: str, order: str, size: str, least: int = 300) -> DataFrame:
     """Greedy merge: neighbours join until their group has ``least`` signs, counting one sign between two; the last may stay short."""
-    return _grouped(items, key, order, size, _fold(F.col("ns"), F.lit(least)))
+    return _grouped(items, key, order, size, _fold(F.col("ns"), lambda size, n: size >= least, lambda size, n: size + n + 1))
 
 
 def pack_greedy(items: DataFrame, key: str, order: str, size: str, most: int) -> DataFrame:
     """Greedy packing: neighbours join while their group stays within ``most``."""
-    return _grouped(items, key, order, size, _pack(F.col("ns"), F.lit(most)))
+    return _grouped(items, key, order, size, _fold(F.col("ns"), lambda size, n: size + n > most, lambda size, n: size + n))
 
 
-def words_with_places(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, tok_i, c_start, c_end) of the blank-separated words, ends exclusive."""
-    parts = texts.select(key, F.posexplode(F.split(text, " ")).alias("i", "w")).select(key, "i", F.length("w").alias("n"))
+def words_with_places(texts: DataFrame, key: str, text: str, blank: str = " ") -> DataFrame:
+    """(key, tok_i, c_start, c_end) of the words between blanks (a pattern for one of them), ends exclusive."""
+    parts = texts.select(key, F.posexplode(F.split(text, blank)).alias("i", "w")).select(key, "i", F.length("w").alias("n"))
     before = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     placed = parts.withColumn("c_start", F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)).cast("int")).filter("n > 0")
     number = F.row_number().over(Window.partitionBy(key).orderBy("i")) - 1
@@ -87,6 +71,36 @@ def token_blocks(tokens: DataFrame, key: str, most: int) -> DataFrame:
     return tokens.groupBy(key, F.floor(F.col("tok_i") / most).cast("int").alias("block")).agg(F.min("c_start").alias("c_start"), F.max("c_end").alias("c_end"), F.count("*").cast("int").alias("n_tokens"))
 
 
+def without_gaps(blocks: DataFrame, lengths: DataFrame, key: str, length: str) -> DataFrame:
+    """Blocks with chunk_start and chunk_end (inclusive): what lies between two belongs to the one before, the text's edges to the first and last."""
+    order = Window.partitionBy(key).orderBy("block")
+    rows = blocks.join(lengths.select(key, F.col(length).alias("_n")), key)
+    start = F.when(F.row_number().over(order) == 1, 0).otherwise(F.col("c_start"))
+    return rows.select(*blocks.columns, start.alias("chunk_start"), (F.coalesce(F.lead("c_start").over(order), F.col("_n")) - 1).alias("chunk_end"))
+
+
+def word_at(places: DataFrame, words: DataFrame, key: str, place: str, name: str, bucket: int = 1 << 10) -> DataFrame:
+    """``places`` with the number of the word that each place is in, null for none; joined by key and bucket of the text."""
+    at = lambda c: F.floor(F.col(c) / bucket)
+    spread = words.select(F.col(key).alias("_key"), F.col("tok_i").alias(name), "c_start", "c_end", F.explode(F.sequence(at("c_start"), F.floor((F.col("c_end") - 1) / bucket))).alias("_b"))
+    inside = (places[key] == spread["_key"]) & (at(place) == spread["_b"]) & (places[place] >= spread["c_start"]) & (places[place] < spread["c_end"])
+    return places.join(spread, inside, "left").drop("_key", "_b", "c_start", "c_end")
+
+
+def labelled_windows(questions: DataFrame, words: DataFrame, counts: DataFrame, key: str, length: int, stride: int, offset: int) -> DataFrame:
+    """Windows of each question's document with the place of its answer in them.
+
+    questions: key, none (no answer), p and z (first and last sign of the answer).  Where the answer isn't wholly in a window, and where a place is in no
+    word, start_position and end_position are 0 and the window is impossible; else they are words of the window, ``offset`` further.
+    """
+    found = word_at(word_at(questions, words, key, "p", "_a"), words, key, "z", "_z")
+    rows = counts.select(key, "n", F.explode(windows(F.col("n"), length, stride)).alias("start")).withColumn("length", F.least(F.lit(length), F.col("n") - F.col("start")))
+    inside = F.coalesce(~F.col("none") & (F.col("_a") >= F.col("start")) & (F.col("_z") <= F.col("start") + F.col("length") - 1), F.lit(False))
+    label = lambda c: F.when(inside, F.col(c) - F.col("start") + offset).otherwise(0)
+    both = found.join(rows, key).withColumns({"start_position": label("_a"), "end_position": label("_z"), "is_impossible": ~inside})
+    return both.drop("_a", "_z", "n")
+
+
 def windows(n: Column, length: int, stride: int) -> Column:
     """Starts of windows of ``length`` over ``n`` tokens; a window starts as long as the one before didn't reach the end."""
     starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(stride))

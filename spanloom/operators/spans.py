@@ -21,14 +21,15 @@ def within(inner_start: Column, inner_end: Column, start: Column, end: Column) -
     return (inner_start >= start) & (inner_end <= end)
 
 
-def union(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
+def union(spans: DataFrame, key: str | list[str], start: str, end: str) -> DataFrame:
     """Spans with exclusive ends united where they overlap or touch: (key, start, end)."""
+    keys = [key] if isinstance(key, str) else key
     rows = spans.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
-    order = Window.partitionBy(key).orderBy(start, end)
+    order = Window.partitionBy(*keys).orderBy(start, end)
     before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.withColumn("_new", F.coalesce((F.col(start) > before).cast("int"), F.lit(1)))
     grouped = marked.withColumn("_g", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy(key, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
+    return grouped.groupBy(*keys, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
 
 
 def complement(spans: DataFrame, lengths: DataFrame, key: str, start: str, end: str, length: str) -> DataFrame:

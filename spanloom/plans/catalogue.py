@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("texts", "spans", "segments", "scores", "samples", "decoding", "reports")
+MODULES = ("texts", "spans", "segments", "scores", "samples", "decoding", "reports", "corpus")
 
 QUERIES: dict = {}
 SQL: dict = {}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import metrics as M
 from spanloom.functions import text as T
-from spanloom.operators import annotate, decode, prompts, runs, sampling, scoring, segment, spans
+from spanloom.operators import annotate, decode, prompts, rebase, runs, sampling, scoring, segment, spans
 from spanloom.sources import files
 from spanloom.streaming import files as stream
 from spanloom.streaming.state import sequential
@@ -247,3 +247,47 @@ def test_overlapping_windows_share_answers(spark):
     assert ("q", -1) in {(r[0], r[3]) for r in best}
     assert {r.qa: r.text for r in decode.answers(got, "text").collect()} == {"q": "cd", "none": ""}
     assert decode.n_best(df.limit(0), 2, 3, tokens).count() == 0
+
+
+def test_cleaning_moves_and_unites_annotations(spark):
+    docs = spark.createDataFrame([("d", "  a   b\n\n\nc  d"), ("n", None), ("e", "")], "k string, t string")
+    runs = rebase.kept_runs(docs, "k", "t")
+    assert [r for r in rows(runs.filter("length > 0"), "k", "run")] == [("d", 0, 0, 0, 1), ("d", 1, 2, 1, 2), ("d", 2, 6, 3, 2), ("d", 3, 10, 5, 2), ("d", 4, 13, 7, 1)]
+    chars = {r.old_pos: r.new_pos for r in rebase.character_map(runs, "k").collect()}
+    old, new = "  a   b\n\n\nc  d", " a b\nc d"
+    assert all(old[o] == new[n] for o, n in chars.items()) and sorted(chars.values()) == list(range(len(new)))
+    places = spark.createDataFrame([("d", i, "x") for i in range(len(old))], "k string, p int, note string")
+    got = {r.p: r.new_p for r in rebase.moved(places, runs, "k", "p").collect()}
+    last = 0
+    for i in range(len(old)):
+        last = chars.get(i, last)
+        assert got[i] == last
+    answers = spark.createDataFrame([("d", 1, 2, 4), ("d", 1, 3, 6), ("d", 2, 10, 13), ("d", 2, None, 3), ("n", 1, 0, 1)], "k string, q int, start_pos int, end_pos int")
+    assert rows(rebase.cleaned(docs, answers, "k", "t", ["q"]), "q") == [("d", 1, 1, 3, "a b"), ("d", 2, 5, 7, "c d")]
+    assert rebase.cleaned(docs.limit(0), answers, "k", "t", ["q"]).count() == 0
+
+
+def test_folds_without_python(spark):
+    df = spark.createDataFrame([("a", i, n) for i, n in enumerate([5, 6, 20, 3, 4, 100])] + [("b", 0, 1), ("c", 0, None)], "k string, i int, n int").filter("n is not null")
+    assert [r.group for r in segment.merge_short(df, "k", "i", "n", 10).orderBy("k", "i").collect()] == [0, 0, 1, 2, 2, 2, 0]
+    assert [r.group for r in segment.pack_greedy(df, "k", "i", "n", 11).orderBy("k", "i").collect()] == [0, 0, 1, 2, 2, 3, 0]
+    assert segment.merge_short(df.limit(0), "k", "i", "n").count() == 0
+
+
+def test_running_sums_in_buckets(spark):
+    df = spark.createDataFrame([(f"t{i:04}", i % 7) for i in range(3000)], "t string, v int").repartition(7)
+    got = runs.running_sums(df, "t", ["v"]).orderBy("t").collect()
+    total = 0
+    for i, r in enumerate(got):
+        total += i % 7
+        assert r.sum_v == total
+    assert runs.running_sums(df.limit(0), "t", ["v"]).count() == 0
+
+
+def test_windows_with_labels(spark):
+    words = spark.createDataFrame([("d", i, 3 * i, 3 * i + 2) for i in range(10)], "k string, tok_i int, c_start int, c_end int")
+    n = spark.createDataFrame([("d", 10)], "k string, n int")
+    q = spark.createDataFrame([("d", 1, False, 12, 16), ("d", 2, True, None, None), ("d", 3, False, 2, 4)], "k string, q int, none boolean, p int, z int")
+    got = [tuple(r) for r in segment.labelled_windows(q, words, n, "k", 6, 4, 2).select("q", "start", "length", "start_position", "end_position", "is_impossible").orderBy("q", "start").collect()]
+    # words 4 and 5 are in both windows; question 3 begins at a blank
+    assert got == [(1, 0, 6, 6, 7, False), (1, 4, 6, 2, 3, False), (2, 0, 6, 0, 0, True), (2, 4, 6, 0, 0, True), (3, 0, 6, 0, 0, True), (3, 4, 6, 0, 0, True)]

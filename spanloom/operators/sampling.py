@@ -58,6 +58,13 @@ def negatives_per_label(positives: DataFrame, parts: DataFrame, ratio: float, se
     return take(free.withColumn("cost", cost), ["label"], ["doc", "part"], F.col("want"), seed, F.col("cost")).select("doc", "part", "label")
 
 
+def negatives_within(positives: DataFrame, parts: DataFrame, seed: int) -> DataFrame:
+    """For each document and label, as many parts of the document without the label as have it, or all there are."""
+    wanted = positives.groupBy("doc", "label").agg(F.count("*").alias("want"))
+    free = parts.join(wanted, "doc").join(positives.select("doc", "part", "label").distinct(), ["doc", "part", "label"], "left_anti")
+    return take(free, ["doc", "label"], ["doc", "part", "label"], F.col("want"), seed).select("doc", "part", "label")
+
+
 def negatives_per_part(positives: DataFrame, labels: DataFrame, count: int, seed: int) -> DataFrame:
     """For each part with a label, ``count`` labels that it doesn't have."""
     parts = positives.select("doc", "part").distinct()

@@ -59,6 +59,33 @@ def document_macro(rows: DataFrame) -> DataFrame:
     return mean(mean(scored(total(rows, "q_id", "title")), "q_id"))
 
 
+def answer_scores(rows: DataFrame) -> DataFrame:
+    """``rows`` (answers, prediction) with exact, p, r and f1: exact against any one of the answers, the others against all of them in a row.
+
+    Answers without a word don't count; without any, only a prediction without words is right.
+    """
+    from ..functions.text import tokens
+
+    golds = F.filter(F.transform(F.coalesce("answers", F.array().cast("array<string>")), tokens), lambda w: F.size(w) > 0)
+    both = rows.withColumn("_g", golds).withColumn("_p", tokens(F.col("prediction")))
+    gold = F.flatten("_g")
+    scores = M.agreeing(F.size(gold), F.size("_p"), M.joint(gold, F.col("_p")))
+    exact = F.when(F.size("_g") == 0, F.size("_p") == 0).otherwise(F.array_contains("_g", F.col("_p"))).cast("double")
+    return both.select(*rows.columns, exact.alias("exact"), *[v.alias(k) for k, v in scores.items()])
+
+
+def squad_report(rows: DataFrame, threshold: float) -> DataFrame:
+    """One row of percentages over ``answer_scores`` (with has_answer and na_prob): of all, as predicted; and of those with and those without
+    an answer, where a question whose probability of no answer is above the threshold counts as left unanswered."""
+    held = F.col("na_prob") > threshold
+    after = {k: F.when(held, (~F.col("has_answer")).cast("double")).otherwise(F.col(k)) for k in ("exact", "f1")}
+    pct = lambda c, name: F.round(100 * F.avg(c), 6).alias(name)
+    parts = [pct(k, k) for k in ("exact", "f1", "p", "r")]
+    for name, own in (("has_answer", F.col("has_answer")), ("no_answer", ~F.col("has_answer"))):
+        parts += [pct(F.when(own, v), f"{name}_{k}") for k, v in after.items()] + [F.count(F.when(own, 1)).alias(f"{name}_total")]
+    return rows.agg(F.count("*").alias("total"), F.count(F.when(held, 1)).alias("withheld"), *parts)
+
+
 def missing(gold: DataFrame, predictions: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Annotated samples without a prediction."""
     return gold.join(predictions, list(keys), "left_anti")

@@ -135,3 +135,67 @@ def sample_set_operations(t):
     s, p = t("test_meta_id").select(*keys), t("predictions").select(*keys)
     count = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
     return count(s.subtract(p), "missing").unionByName(count(p.subtract(s), "extra")).unionByName(count(s.intersect(p), "both"))
+
+
+_TRAIN = [i for i, part in sampling.label_split(41, 29, SEED) if part == "train"]
+_ONLY = f"({', '.join(map(str, _TRAIN))})"
+_SAMPLES = f"""{_POS}, lp as (select * from pos where "label" in {_ONLY}), w as (select doc, count(*) w from parts group by doc), n as (select "label", count(*) want from lp group by "label"),
+ g1 as (select p.doc, p.part, n."label", want, w from parts p join w using (doc), n where not exists (select 1 from lp where lp.doc = p.doc and lp.part = p.part and lp."label" = n."label")),
+ r1 as (select *, row_number() over (partition by "label" order by round(-ln({_U.format(keys="doc || '|' || part || '|' || \"label\"")}) * w, 9), doc, part) k from g1),
+ g2 as (select p.doc, p.part, c.q_id "label" from (select distinct doc, part from lp) p, clauses c where c.q_id in {_ONLY} and not exists (select 1 from lp where lp.doc = p.doc and lp.part = p.part and lp."label" = c.q_id)),
+ r2 as (select *, row_number() over (partition by doc, part order by {_LOT.format(keys="doc || '|' || part || '|' || \"label\"")}, doc, part, "label") k from g2),
+ ans as (select title doc, para_idx part, q.q_id "label", q.answers a from (select title, para_idx, unnest(qas) q from paras) where len(q.answers) > 0),
+ al as (select doc, part, "label", list(x.text order by x.span_i, x.start_pos, x.text) answers from (select doc, part, "label", unnest(a) x from ans) group by doc, part, "label"),
+ u as (select doc, part, "label", answers, 0 "type" from lp join al using (doc, part, "label") union all select doc, part, "label", null, 1 from r1 where k <= want union all select doc, part, "label", null, 2 from r2 where k <= 1)"""
+_PAST = "array_to_string(list_transform(answers, lambda x: '- ' || x), chr(10))"
+
+
+def _typed_samples(t):
+    """Positives (0), parts without a clause that others have (1), and clauses that a part doesn't have (2), over the clauses kept for training."""
+    labels = t("clauses").select(F.col("q_id").alias("label")).filter(F.col("label").isin(_TRAIN))
+    pos = _positives(t).join(F.broadcast(labels), "label")  # 29 labels
+    lists = t("paras").select("title", "para_idx", F.explode("qas").alias("q")).select("title", "para_idx", "q.q_id", F.explode("q.answers").alias("a"))
+    lists = lists.groupBy(F.col("title").alias("doc"), F.col("para_idx").alias("part"), F.col("q_id").alias("label")).agg(F.array_sort(F.collect_list(F.struct("a.span_i", "a.start_pos", "a.text"))).alias("x"))
+    found = pos.join(lists, ["doc", "part", "label"]).select("doc", "part", "label", F.transform("x", lambda v: v["text"]).alias("answers"), F.lit(0).alias("type"))
+    none = F.lit(None).cast("array<string>").alias("answers")
+    other = sampling.negatives_per_label(pos, _parts(t), 1.0, SEED).select("doc", "part", "label", none, F.lit(1).alias("type"))
+    lacking = sampling.negatives_per_part(pos, labels, 1, SEED).select("doc", "part", "label", none, F.lit(2).alias("type"))
+    return found.unionByName(other).unionByName(lacking)
+
+
+@C.add(f"""with {_SAMPLES}, x as (select title doc, para_idx part, any_value(text order by para_id) text from paras group by all)
+ select doc, part, "label", "type", md5('Text: ' || coalesce(x.text, '') || chr(10) || 'Clause: ' || clause_type || chr(10) || clause_quest || chr(10) || 'Answer:' || chr(10)) source_md5,
+ case when len(coalesce(answers, [])) > 0 then {_PAST} else 'No' end target from u join x using (doc, part) join clauses c on c.q_id = u."label\"""")
+def sample_prompts(t):
+    """Positive and both kinds of negative samples in one table, with their prompts and targets."""
+    texts = t("paras").groupBy(F.col("title").alias("doc"), F.col("para_idx").alias("part")).agg(F.min_by("text", "para_id").alias("text"))
+    rows = _typed_samples(t).join(texts, ["doc", "part"]).join(F.broadcast(t("clauses").select(F.col("q_id").alias("label"), "clause_type", "clause_quest")), "label")  # 41 clauses
+    source = T.render("Text: {text}\nClause: {clause}\n{quest}\nAnswer:\n", text=F.col("text"), clause=F.col("clause_type"), quest=F.col("clause_quest"))
+    return rows.select("doc", "part", "label", "type", F.md5(source).alias("source_md5"), T.target(F.col("answers"), "list").alias("target"))
+
+
+@C.add(f"""with {_POS}, n as (select doc, "label", count(*) want from pos group by all), g as (select p.doc, p.part, n."label", want from parts p join n using (doc) where not exists (select 1 from pos where pos.doc = p.doc and pos.part = p.part and pos."label" = n."label")),
+ r as (select *, row_number() over (partition by doc, "label" order by {_LOT.format(keys="doc || '|' || part || '|' || \"label\"")}, doc, part, "label") k from g) select doc, part, "label" from r where k <= want""")
+def neg_within_contract(t):
+    """For each contract and clause, as many of its paragraphs without the clause as with it."""
+    return sampling.negatives_within(_positives(t), _parts(t), SEED)
+
+
+@C.add(f"""with nm as (select map_from_entries(list({{'k': q_id, 'v': clause_type}})) m from clauses), p as (select title, para_idx, para_id, text, qas, '[' || {_HEAD} || '] (' || array_to_string(list_transform(qas, lambda q: m[q.q_id]), ', ') || ')' || chr(10) note from paras, nm where text <> ''),
+ m as (select *, coalesce(list(note) over (partition by title order by para_idx, para_id rows between 10 preceding and 1 preceding), []) notes from p),
+ r as (select *, list_transform(notes, lambda x, i: coalesce(list_sum(list_transform(notes[i + 1:], lambda y: len(string_split(y, ' ')))), 0)) later from m),
+ e as (select para_id, text, array_to_string(list_filter(notes, lambda x, i: later[i] <= 40), '') memory, unnest(qas) q from r)
+ select para_id, q.q_id q_id, md5('Earlier parts:' || chr(10) || (case when memory = '' then 'None' else memory end) || chr(10) || 'Text:' || chr(10) || text || chr(10) || c.clause_quest || chr(10) || 'Answer:' || chr(10)) source_md5,
+ len(string_split(memory, chr(10))) - 1 n_notes from e join clauses c on c.q_id = e.q.q_id""")
+def memory_prompts(t):
+    """Prompts of each paragraph and clause that begin with notes of up to ten paragraphs before: their first words and the names of their clauses, within forty words."""
+    clauses = t("clauses").select("q_id", "clause_type", "clause_quest")
+    names = F.broadcast(clauses.agg(F.map_from_entries(F.collect_list(F.struct("q_id", "clause_type"))).alias("names")))  # one row of 41 names
+    paras = t("paras").filter("text <> ''").crossJoin(names)
+    note = F.concat(F.lit("["), T.head(F.col("text")), F.lit("] ("), F.array_join(F.transform("qas", lambda q: F.col("names")[q["q_id"]]), ", "), F.lit(")\n"))
+    framed = prompts.preceding(paras.select("title", "para_idx", "para_id", "text", "qas", note.alias("note")), "title", ["para_idx", "para_id"], "note", 10)
+    kept = prompts.within_budget("memory", lambda x: F.size(F.split(x, " ")), 40)
+    rows = framed.select("para_id", "text", "qas", kept.alias("kept")).select("para_id", "text", "kept", F.explode("qas").alias("q")).select("para_id", "text", "kept", "q.q_id").join(F.broadcast(clauses), "q_id")
+    memory = F.when(F.size("kept") == 0, F.lit("None")).otherwise(F.array_join("kept", ""))
+    source = T.render("Earlier parts:\n{memory}\nText:\n{text}\n{quest}\nAnswer:\n", memory=memory, text=F.col("text"), quest=F.col("clause_quest"))
+    return rows.select("para_id", "q_id", F.md5(source).alias("source_md5"), F.size("kept").cast("bigint").alias("n_notes"))

@@ -119,19 +119,26 @@ def qa_examples(t):
     return q.select("q.qa_id", "title", "q_id", F.coalesce("q.is_impossible", F.lit(False)).alias("is_impossible"), F.size(F.coalesce("q.answers", F.array())).alias("n_answers"), F.get("q.answers", F.lit(0))["text"].alias("first_answer"))
 
 
-@C.add("""with w as (select title, para_idx, q_id, type, written_at, loaded_at, [q_id + 100, type + 200] src, list_transform(coalesce(answers, []), lambda a: length(a)) tgt from test_meta_id),
- s as (select *, list_concat(list_concat(src, tgt), [2]) ids from w), m as (select max(len(ids)) m from s)
- select title, para_idx, q_id, type, loaded_at, list_resize(ids, m, 0) input_ids, list_resize(list_concat(list_transform(src, lambda x: -100), list_concat(tgt, [2])), m, -100) labels, list_resize(list_transform(ids, lambda x: 1), m, 0) mask,
- len(src)::int n_source from s, m""")
+@C.add("""with w as (select title, para_idx, q_id, type, written_at, loaded_at, [q_id + 100, type + 200] src, list_transform(coalesce(answers, []), lambda a: length(a)) tgt,
+ (row_number() over (partition by title order by para_idx, q_id, type, loaded_at, written_at nulls first, array_to_string(list_transform(coalesce(answers, []), lambda a: length(a)), '|')) - 1) // 8 batch from test_meta_id where title is not null),
+ s as (select *, list_concat(list_concat(src, tgt), [2]) ids from w), m as (select *, max(len(ids)) over (partition by title, batch) m from s)
+ select title, batch::bigint batch, para_idx, q_id, type, loaded_at, list_resize(ids, m, 0) input_ids, list_concat(list_transform(range(m - len(ids)), lambda x: 0::bigint), ids) left_ids,
+ list_resize(list_concat(list_transform(src, lambda x: -100), list_concat(tgt, [2])), m, -100) labels, list_resize(list_transform(ids, lambda x: 1), m, 0) mask,
+ len(src)::int n_source, list_concat(src, [7, 8]) headed from m""")
 def pad_collate(t):
-    """Source and target ids of every test sample in one width, labels hidden on the source."""
-    rows = t("test_meta_id").select("title", "para_idx", "q_id", "type", "loaded_at", F.array(F.col("q_id") + 100, F.col("type") + 200).alias("src"), F.transform(F.coalesce("answers", F.array().cast("array<string>")), F.length).alias("tgt"))
-    rows = rows.withColumn("ids", F.concat("src", "tgt", F.array(F.lit(2))))
-    rows = rows.join(F.broadcast(rows.agg(F.max(F.size("ids")).alias("width"))))  # one row
-    hidden = F.concat(F.transform("src", lambda x: F.lit(-100)), "tgt", F.array(F.lit(2)))
+    """Source and target ids in batches of eight samples of a contract, each batch as wide as its longest; labels hidden on the source; and the source with a given target."""
+    rows = t("test_meta_id").filter("title is not null").select(
+        "title", "para_idx", "q_id", "type", "loaded_at", "written_at", F.array(F.col("q_id") + 100, F.col("type") + 200).alias("src"), F.transform(F.coalesce("answers", F.array().cast("array<string>")), F.length).alias("tgt")
+    )
+    order = Window.partitionBy("title").orderBy("para_idx", "q_id", "type", "loaded_at", "written_at", F.array_join(F.col("tgt").cast("array<string>"), "|"))
+    rows = rows.withColumn("batch", F.floor((F.row_number().over(order) - 1) / 8)).withColumn("ids", F.concat("src", "tgt", F.array(F.lit(2))))
+    rows = rows.withColumn("width", F.max(F.size("ids")).over(Window.partitionBy("title", "batch")))
+    hidden = S.padded(F.concat(F.transform("src", lambda x: F.lit(-100)), "tgt", F.array(F.lit(2))), F.col("width"), -100)
+    ids = S.padded(F.col("ids"), F.col("width"), 0)
+    source = F.size(F.filter(F.slice(hidden, F.lit(1), F.size("ids")), lambda x: x == -100))
     return rows.select(
-        "title", "para_idx", "q_id", "type", "loaded_at", S.padded(F.col("ids"), F.col("width"), 0).alias("input_ids"), S.padded(hidden, F.col("width"), -100).alias("labels"),
-        S.padded(F.transform("ids", lambda x: F.lit(1)), F.col("width"), 0).alias("mask"), F.size(F.filter(hidden, lambda x: x == -100)).alias("n_source"),
+        "title", "batch", "para_idx", "q_id", "type", "loaded_at", ids.alias("input_ids"), S.padded(F.col("ids"), F.col("width"), 0, left=True).alias("left_ids"), hidden.alias("labels"),
+        S.padded(F.transform("ids", lambda x: F.lit(1)), F.col("width"), 0).alias("mask"), source.alias("n_source"), F.concat(F.slice(ids, F.lit(1), source), F.array(F.lit(7), F.lit(8))).alias("headed"),
     )
 
 

@@ -21,10 +21,15 @@ def last_restart(rows: DataFrame, by: list[str], order: str, step: str) -> DataF
     return marked.withColumn("_from", F.max("_fell").over(Window.partitionBy(*by))).filter((F.col("_from").isNull()) | (F.col(order) >= F.col("_from"))).drop("_fell", "_from")
 
 
+def marked_last(rows: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
+    """``rows`` with ``kept``: whether a row is among the newest ``n`` of its group."""
+    return rows.withColumn("kept", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order))) <= n)
+
+
 def keep_last(rows: DataFrame, by: list[str], order: str, n: int) -> tuple[DataFrame, DataFrame]:
     """The newest ``n`` rows of each group, and those to delete."""
-    numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order))))
-    return numbered.filter(F.col("_r") <= n).drop("_r"), numbered.filter(F.col("_r") > n).drop("_r")
+    marked = marked_last(rows, by, order, n)
+    return marked.filter("kept").drop("kept"), marked.filter("not kept").drop("kept")
 
 
 def relative_to_first(rows: DataFrame, by: list[str], order: str, value: str) -> Column:

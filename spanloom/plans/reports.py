@@ -97,17 +97,15 @@ def split_average(t):
 @C.add(f"""with {_LOG}, s as (select user_id, avg(value) filter (event_type = 'click') a, avg(value) filter (event_type = 'view') b from l group by user_id) select count(*)::bigint n, round(avg(coalesce(a, 0) - coalesce(b, 0)), 6) gap, count(*) filter (a is null or b is null)::bigint one_sided from s""")
 def generalization_gap(t):
     """The mean gap between two kinds of results of the same run; a missing side counts as 0."""
-    side = lambda k, n: _log(t).filter(F.col("event_type") == k).groupBy("user_id").agg(F.avg("value").alias(n))
-    both = t("events").select("user_id").distinct().join(side("click", "a"), "user_id", "left").join(side("view", "b"), "user_id", "left")
+    side = lambda k: F.avg(F.when(F.col("event_type") == k, F.col("value")))
+    both = _log(t).groupBy("user_id").agg(side("click").alias("a"), side("view").alias("b"))
     return both.agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))), 6).alias("gap"), F.count(F.when(F.col("a").isNull() | F.col("b").isNull(), 1)).alias("one_sided"))
 
 
 @C.add(f"with {_LOG}, r as (select *, row_number() over (partition by user_id order by event_id desc) k from l) select user_id, event_id, step, k > 3 deleted from r")
 def retention_lastn(t):
     """Lines of each run that are kept, the newest three, and that go."""
-    kept, gone = runs.keep_last(_log(t), ["user_id"], "event_id", 3)
-    cols = ("user_id", "event_id", "step")
-    return kept.select(*cols, F.lit(False).alias("deleted")).unionByName(gone.select(*cols, F.lit(True).alias("deleted")))
+    return runs.marked_last(_log(t), ["user_id"], "event_id", 3).select("user_id", "event_id", "step", (~F.col("kept")).alias("deleted"))
 
 
 @C.add(f"""with {_LOG}, g as (select *, case when step <= lag(step) over (partition by user_id order by event_id) then event_id end fell from l), m as (select *, max(fell) over (partition by user_id) since from g),
@@ -192,7 +190,7 @@ def contract_view(t):
     """Contracts looked up by number, brought into range, with the answerable questions of each."""
     docs = t("cuadv1").select("title", F.length("doc_text").alias("k"), F.transform("qas", lambda q: q["is_impossible"]).alias("impossible"))
     n = F.broadcast(docs.agg(F.count("*").cast("int").alias("n")))  # one row
-    numbered = docs.withColumn("idx", F.row_number().over(Window.orderBy("title")) - 1)  # the service numbers all contracts
+    numbered = runs.running_sums(docs.withColumn("one", F.lit(1)), "title", ["one"]).select("title", "k", "impossible", (F.col("sum_one") - 1).cast("int").alias("idx"))
     log = _log(t)
     asked = F.when(F.col("step") == 0, -1).otherwise(F.col("step") * 7)
     log = log.select("event_id", asked.alias("asked"), F.lag(F.col("step") * 7, 1, 0).over(Window.partitionBy("user_id").orderBy("event_id")).alias("last_seen")).join(n)
@@ -213,7 +211,8 @@ def clause_values(t):
 def first_appearance_groups(t):
     """Contracts as groups of paragraphs, in the order in which they first appear."""
     g = t("paras").groupBy("title").agg(F.min("para_id").alias("first_para"), F.count("*").alias("n"), F.count(F.when(F.coalesce("text", F.lit("")) == "", 1)).alias("blank"))
-    return g.withColumn("place", F.row_number().over(Window.orderBy("first_para", "title")))  # a rank over all groups is what is asked for
+    g = g.withColumns({"one": F.lit(1), "key": F.concat(F.lpad(F.col("first_para").cast("string"), 20, "0"), F.coalesce("title", F.lit("")))})
+    return runs.running_sums(g, "key", ["one"]).select("title", "first_para", "n", "blank", F.col("sum_one").cast("int").alias("place"))
 
 
 @C.add("""with u as (select 'train' part, title, para_idx, q_id, type, loaded_at, written_at from train_meta union all select 'test', title, para_idx, q_id, type, loaded_at, written_at from test_meta_id),

@@ -14,7 +14,7 @@ C = Catalogue()
 
 _GOLD = """g0 as (select *, row_number() over (partition by title, para_idx, q_id order by loaded_at, written_at nulls first) rn from test_meta_id),
  g as (select title, para_idx, q_id, type gtype, array_to_string(coalesce(answers, []), chr(10)) gold from g0 where rn = 1)"""
-_PLAIN = "case when trim(coalesce(prediction, '')) in ('No', 'No.') then '' else regexp_replace(coalesce(prediction, ''), '^Yes\\.', '') end"
+_PLAIN = "case when coalesce(prediction, '') in ('No', 'No.') then '' else regexp_replace(coalesce(prediction, ''), '^Yes\\.', '') end"
 _FACTS = f"""{_GOLD}, b as (select p.title, p.para_idx, p.q_id, p.type, {TOKENS.format(x="g.gold")} gw, {TOKENS.format(x=_PLAIN)} pw
  from predictions p left join g using (title, para_idx, q_id)), f as (select title, para_idx, q_id, type, len(gw) n_gold, len(pw) n_pred,
  coalesce(list_sum(list_transform(list_distinct(gw), lambda x: least(len(list_filter(gw, lambda y: y = x)), len(list_filter(pw, lambda y: y = x))))), 0)::bigint n_joint from b)"""
@@ -87,17 +87,20 @@ def metrics_doc_macro(t):
  select q_id, {_ROUND}, round(doc_f1, 6) doc_f1, round(doc_iou, 6) doc_iou from q full join dq using (q_id)""")
 def metrics_by_question(t):
     """Scores of each question, over its sums and over contracts, in one table."""
-    facts = _facts(t)
-    per_doc = S.mean(S.scored(S.total(facts, "q_id", "title")), "q_id").select("q_id", F.round("f1", 6).alias("doc_f1"), F.round("iou", 6).alias("doc_iou"))
-    return _rounded(S.scored(S.total(facts, "q_id")), "q_id").join(per_doc, "q_id", "full_outer")
+    per_doc = S.scored(S.total(_facts(t), "q_id", "title")).withColumnsRenamed({"f1": "own_f1", "iou": "own_iou"}).drop("p", "r")
+    per = per_doc.groupBy("q_id").agg(*[F.sum(c).alias(c) for c in S.COUNTS], F.round(F.avg("own_f1"), 6).alias("doc_f1"), F.round(F.avg("own_iou"), 6).alias("doc_iou"))
+    return _rounded(S.scored(per), "q_id", "doc_f1", "doc_iou")
 
 
 @C.add(f"""with {_FACTS}, d as (select title, {_SUM} from f group by title), a as (select {_SUM} from f) select 'docave' kind, round(avg(p), 6) p, round(avg(r), 6) r, round(avg(f1), 6) f1, round(avg(iou), 6) iou from d
  union all select 'docsum', {_ROUND} from a""")
 def metrics_docave_docsum(t):
     """Mean over contracts, and the score of all sums."""
-    facts = _facts(t)
-    return _rounded(S.mean(S.scored(S.total(facts, "title"))), F.lit("docave").alias("kind")).unionByName(_rounded(S.micro(facts), F.lit("docsum").alias("kind")))
+    names = ("p", "r", "f1", "iou")
+    per_doc = S.scored(S.total(_facts(t), "title")).withColumnsRenamed({n: f"own_{n}" for n in names})
+    one = S.scored(per_doc.agg(*[F.sum(c).alias(c) for c in S.COUNTS], *[F.avg(f"own_{n}").alias(f"mean_{n}") for n in names]))  # one row
+    both = F.array(*(F.struct(F.lit(kind).alias("kind"), *[F.round(c.format(n), 6).alias(n) for n in names]) for kind, c in (("docave", "mean_{}"), ("docsum", "{}"))))
+    return one.select(F.inline(both))
 
 
 @C.add(f"""with {_FACTS}, s as (select q_id, title, grouping(q_id, title)::int level, {_SUM} from f group by grouping sets ((q_id, title), (q_id), (title), ())) select q_id, title, level, {_ROUND} from s""")

@@ -7,6 +7,7 @@ has no file gives Spark's own error; an empty file gives an empty table.
 from __future__ import annotations
 
 import ast
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +69,27 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.withColumns(nested).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Each row (name, content) as a UTF-8 file below ``folder``, written where the row is; a task that runs again writes the same file again.
+
+    Null content gives an empty file.  Returns the number of files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                path = f"{root}/{name}"
+                where.create_dir(path.rpartition("/")[0], recursive=True)
+                with where.open_output_stream(path) as f:
+                    f.write((content or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return rows.select("name", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """(title, doc_text, qas) of a nested question corpus, one row per document; answers with exclusive ends."""
     docs = json_document(spark, path, CORPUS).select(F.inline("data")).select("title", F.explode("paragraphs").alias("p"))
@@ -77,7 +99,7 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*", depth: bool = True) -> DataFrame:
-    """(path, name, length) of a folder's files, without their contents."""
+    """(path, name, length) of a folder's files, without their contents; files without a byte are left out."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", depth).load(folder)
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
@@ -130,6 +152,35 @@ def to_score(registered: DataFrame) -> DataFrame:
     return registered.filter((F.col("pred_all") & ~F.col("metric_all")) | (F.col("pred_sampled") & ~F.col("metric_sampled")))
 
 
+_CHECKPOINT = "([^/]+)/([^/]+)/([^/]+)/checkpoint-([0-9]+)/([^/]+)$"
+
+
+def _placed(rows: DataFrame, path: Column) -> DataFrame:
+    """Rows with the model, split, run and checkpoint of the file they come from, and its name."""
+    part = lambda i: F.regexp_extract(path, _CHECKPOINT, i)
+    return rows.withColumns({"model": part(1), "split": part(2), "run": part(3), "checkpoint": part(4).cast("int"), "name": part(5)})
+
+
+def metrics_tree(spark: SparkSession, folder: str, fields: list[str]) -> DataFrame:
+    """(model, split, run, checkpoint, kind, fields) of every metrics_<kind>.json below ``model/split/run/checkpoint-N``; a field that is missing is null."""
+    schema = ", ".join(f"`{f}` double" for f in fields)
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "metrics_*.json").schema(schema).option("multiLine", True).json(folder)
+    kind = F.regexp_extract("name", "metrics_(.+)\\.json", 1)
+    return _placed(found, F.input_file_name()).select("model", "split", "run", "checkpoint", kind.alias("kind"), *fields)
+
+
+def paired_metrics(metrics: DataFrame, fields: list[str], kinds: tuple[str, str]) -> DataFrame:
+    """One row a checkpoint, with each field of both kinds side by side; null where a kind is missing."""
+    of = lambda k, f: F.max(F.when(F.col("kind") == k, F.col(f))).alias(f"{f}_{k}")
+    return metrics.groupBy("model", "split", "run", "checkpoint").agg(*[of(k, f) for k in kinds for f in fields])
+
+
+def run_predictions(spark: SparkSession, folder: str, kind: str, schema: str) -> DataFrame:
+    """Rows of every predictions_<kind>.jsonl of the tree, with the checkpoint they belong to."""
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"predictions_{kind}.jsonl").schema(schema).json(folder)
+    return _placed(found, F.input_file_name()).drop("name")
+
+
 def loss_log(spark: SparkSession, path: str, schema: str = "step int, loss double") -> DataFrame:
     """Log lines that are JSON, or dictionaries as Python writes them; other lines are left out.  ``line`` keeps their order in a file."""
     raw = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
@@ -139,8 +190,10 @@ def loss_log(spark: SparkSession, path: str, schema: str = "step int, loss doubl
 
 def cached(make, spark: SparkSession, path: str) -> DataFrame:
     """The table at ``path``, made and written first if it isn't there; the path must name all that it depends on."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    from pyarrow import fs
+
+    where, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    if where.get_file_info(f"{inner}/_SUCCESS").type == fs.FileType.NotFound:
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

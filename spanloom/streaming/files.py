@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +35,31 @@ def scratch(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    import uuid
-
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else "file://" + tempfile.mkdtemp(prefix="spanloom-stream-")
+    if not base:
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="spanloom-stream-"))
+        base = "file://" + _LOCAL[0]
+    _WRITTEN.append(f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+_LOCAL: list[str] = []
+_WRITTEN: list[str] = []
+
+
+@atexit.register
+def clear() -> None:
+    """Removes every folder that ``scratch`` gave out in this process."""
+    from pyarrow import fs
+
+    for path in [*_WRITTEN, *(f"file://{p}" for p in _LOCAL)]:
+        try:
+            where, inner = fs.FileSystem.from_uri(path)
+            where.delete_dir(inner)
+        except (OSError, ValueError):
+            continue  # never written, or out of this process's reach
+    _WRITTEN.clear()
+    _LOCAL.clear()
 
 
 def read_twice(rows: DataFrame, schema: str) -> DataFrame:

@@ -23,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,7 +64,7 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = words(text)
             if len(w) >= MIN_WORDS:
                 seq = np.fromiter(map(_CODES.__getitem__, w), np.uint64, len(w)).tobytes()
-                rows.append((rec, part, source, len(w), xxhash.xxh3_128_digest(" ".join(w)), seq))
+                rows.append((rec, part, source, len(w), xxhash.xxh3_128_digest(seq), seq))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), CODED, strict=True)], schema=CODED)
 
@@ -84,8 +85,8 @@ def _grams(codes: np.ndarray) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SLOTS, np.int64)
     for b in small(batches):
-        for seq in b.column(0).to_pylist():
-            total += np.bincount((_grams(np.frombuffer(seq, np.uint64)) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        grams = [_grams(np.frombuffer(seq, np.uint64)) for seq in b.column(0).to_pylist()]
+        total += np.bincount((np.concatenate(grams) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "seen"])
 
@@ -131,6 +132,8 @@ class _Block:
         where, inner = fs.FileSystem.from_uri(path)
         t = parquet.read_table(inner, filesystem=where, columns=["h", "seq", "at"], partitioning=None)
         self.h = t.column("h").to_pylist()
+        by_length = pc.sort_indices(pc.binary_length(t.column("seq")))  # a record's partners are neighbours
+        t, self.row = t.take(by_length), by_length.to_pylist()
         self.seq = [np.frombuffer(s, np.uint64) for s in t.column("seq").to_pylist()]
         self.n = np.array([len(s) for s in self.seq], np.int64)
         at = [np.frombuffer(a, np.int32) for a in t.column("at").to_pylist()]
@@ -222,6 +225,8 @@ def _match(codes: list[np.ndarray], block: _Block, size: int = HITS) -> Iterator
     ends = np.cumsum(hi - lo)
 
     shift = (lo - (ends - (hi - lo))).astype(np.int64)
+    first, last = np.searchsorted(block.n, [-(-4 * m.min() // 5), 5 * m.max() // 4 + 2])  # the partners that these lengths may have
+    span = max(1, int(last - first))
     place, far = where.astype(np.int32), (m[who] // 4 + 1).astype(np.int32)  # no pair allows more edits than that
 
     def hits(a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,7 +239,7 @@ def _match(codes: list[np.ndarray], block: _Block, size: int = HITS) -> Iterator
         d = np.maximum(m[t], block.n[e]) // 5
         ok = np.flatnonzero((np.abs(place[row] - j) <= d) & (np.abs(m[t] - block.n[e]) <= d))
         t, e = t[ok], e[ok]
-        return t * len(block.h) + e, j[ok], block.k[e] - d[ok]
+        return t * span + (e - first), j[ok], block.k[e] - d[ok]
 
     for a, b in _slices(ends, who, size):
         # each pivot of a record counts once for a partner, however often its words recur there
@@ -248,9 +253,9 @@ def _match(codes: list[np.ndarray], block: _Block, size: int = HITS) -> Iterator
                 pair, pivot, _ = hits(a + x, a + y)
                 once = _distinct(np.r_[once, pair << 32 | pivot])
         once >>= 32
-        first = np.flatnonzero(np.r_[True, once[1:] != once[:-1]][: len(once)])
-        pair, shared = once[first], np.diff(np.r_[first, len(once)])
-        t, e = pair // len(block.h), pair % len(block.h)
+        begin = np.flatnonzero(np.r_[True, once[1:] != once[:-1]][: len(once)])
+        pair, shared = once[begin], np.diff(np.r_[begin, len(once)])
+        t, e = pair // span, pair % span + first
         d = np.maximum(m[t], block.n[e]) // 5
         sketches: dict[int, int] = {}
         bags: dict[int, np.ndarray] = {}
@@ -268,7 +273,7 @@ def _match(codes: list[np.ndarray], block: _Block, size: int = HITS) -> Iterator
                 if max(len(codes[x]), len(block.seq[y])) - _common(bags[x], block.bags[y]) <= limit:
                     edits = edit_distance(codes[x], block.seq[y], limit)
                     if edits <= limit:
-                        yield x, y, edits, limit
+                        yield x, block.row[y], edits, limit
 
 
 def _distinct(keys: np.ndarray) -> np.ndarray:
@@ -294,7 +299,7 @@ def _near(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         block = None
-        for b in small(batches, 64):
+        for b in small(batches, 2048):
             block = block or _block(path)
             if len(seen) > SEEN:
                 seen.clear()
@@ -304,7 +309,11 @@ def _near(path: str):
                     seen.add(h)
                     own.append(h)
                     some.append(np.frombuffer(seq, np.uint64))
-            found = [(own[x], block.h[y], d) for x, y, d, _ in _match(some, block) if d] if some and len(block.key) else []
+            order = np.argsort([len(c) for c in some], kind="stable").tolist() if len(block.key) else []
+            found = []
+            for at in range(0, len(order), 64):  # of nearly one length, so their partners are few of the block
+                now = order[at : at + 64]
+                found += [(own[now[x]], block.h[y], d) for x, y, d, _ in _match([some[i] for i in now], block) if d]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), NEAR, strict=True)], schema=NEAR)
 

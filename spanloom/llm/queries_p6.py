@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scans import line_facts, misread_lines, page_lines, repaired, repairs, split_words, vocabulary
+from .scans import line_facts, misread_lines, page_lines, repaired, repairs, sign_repairs, split_words, vocabulary
 from .shared import kept, table
 
 
@@ -16,7 +16,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = kept(page_lines(contracts))
     facts = line_facts(contracts, pages)
     split = kept(split_words(facts, lexicon))
-    parts = {"page_line": pages, "split_word": split, "misread": misread_lines(facts, repairs(facts, lexicon), lexicon, split)}
+    parts = {"page_line": pages, "split_word": split, "misread": misread_lines(facts, repairs(facts, lexicon), sign_repairs(facts, lexicon), split)}
     out = None
     for kind, rows in parts.items():
         own = rows.select("title", "line_no", F.lit(kind).alias("kind"))
@@ -30,7 +30,7 @@ def p6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = vocabulary(contracts)
     pages = kept(page_lines(contracts))
     facts = line_facts(contracts, pages)
-    return repaired(contracts, pages, kept(split_words(facts, lexicon)), facts, repairs(facts, lexicon))
+    return repaired(contracts, pages, kept(split_words(facts, lexicon)), facts, repairs(facts, lexicon), sign_repairs(facts, lexicon))
 
 
 QUERIES = {"p6_found": p6_found, "p6_paragraphs": p6_paragraphs}

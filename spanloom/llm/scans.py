@@ -318,30 +318,55 @@ def repairs(facts: DataFrame, lexicon: DataFrame) -> DataFrame:
     return kept(ranked.withColumn("r", F.row_number().over(best)).filter("r = 1").select("word", "before", "fix"))
 
 
-def misread_lines(facts: DataFrame, fixes: DataFrame, lexicon: DataFrame, split: DataFrame) -> DataFrame:
-    """(title, line_no) of lines of contract text with a wrongly read character in a word or number."""
-    numbers = facts.filter("kind = 'number'").select("title", "line_no")
-    mixed = "word rlike '^[^0-9!]*[^\\\\W\\\\d_][^0-9!]*[0-9!]|^[0-9!]+[^\\\\W\\\\d_]{2}' and length(word) < 25 and not word rlike '^[0-9]+(st|nd|rd|th)$' and not word rlike '[0-9].*[0-9].*[0-9]' and not word rlike '^[A-Z]{1,3}[0-9]{1,2}$'"
-    single = lexicon.filter("not contains(word, ' ') and clean >= 3").select(F.col("word").alias("low"))
-    odd = facts.filter("kind = 'word'").filter(mixed).withColumn("low", F.lower("word")).join(single, "low", "left_anti").select("title", "line_no")
+_SIGNS = "kind string, word string, fix string, cost double"
+_MIXED = "word rlike '^[^0-9!]*[^\\\\W\\\\d_][^0-9!]*[0-9!]|^[0-9!]+[^\\\\W\\\\d_]{2}' and length(word) < 25 and not word rlike '^[0-9]+(st|nd|rd|th)$' and not word rlike '[0-9].*[0-9].*[0-9]' and not word rlike '^[A-Z]{1,3}[0-9]{1,2}$'"
+
+
+def _sign_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in small(batches):
+        rows = []
+        for kind, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            fix = _as_number(w) if kind == "number" else _as_letters(w)
+            if fix != w:
+                rows.append((kind, w, fix, weighed_distance(w, fix, float(len(w)))))
+        if rows:
+            yield _rows(_SIGNS, rows)
+
+
+def sign_repairs(facts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(kind, word, fix) for numbers with letters in them, and for words with digits in them that unscanned contracts hardly have.
+
+    The candidate has the confusable sign of the other kind in each such place; it stands where the weighed distance is half a sign for each place at most, or one sign.
+    """
+    known = lexicon.filter(f"not contains(word, ' ') and clean >= {KNOWN}").select(F.col("word").alias("low"))
+    words = facts.filter("kind = 'word'").filter(_MIXED).select("kind", "word", F.lower("word").alias("low")).distinct().join(known, "low", "left_anti")
+    asked = facts.filter("kind = 'number'").select("kind", "word").distinct().unionByName(words.select("kind", "word"))
+    found = asked.mapInArrow(_sign_candidates, _SIGNS)
+    return kept(found.filter(F.col("cost") <= F.greatest(F.lit(1.0), F.levenshtein("fix", "word") / 2)).select("kind", "word", "fix"))
+
+
+def misread_lines(facts: DataFrame, fixes: DataFrame, signs: DataFrame, split: DataFrame) -> DataFrame:
+    """(title, line_no) of lines of contract text with a wrongly read character in a word or number: those that hold a word with a repair."""
+    odd = facts.filter("kind in ('word', 'number')").join(signs, ["kind", "word"], "left_semi").select("title", "line_no")
     words = facts.filter("kind = 'word'").join(fixes, ["word", "before"], "left_semi").select("title", "line_no")
     # of a word cut by the line end, the line that holds the first sign that differs
     cut = split.select("title", F.col("line_no").cast("string").alias("other"))
     joined = facts.filter("kind = 'joined'").join(cut, ["title", "other"], "left_semi").join(fixes.filter("before is null").select("word", "fix"), "word")
     same = F.expr("aggregate(sequence(1, length(fix)), 0, (n, i) -> if(n = i - 1 and substr(lower(word), i, 1) = substr(fix, i, 1), i, n))")
     halves = joined.select("title", F.when(same < F.length("before"), F.col("other").cast("int")).otherwise(F.col("line_no")).alias("line_no"))
-    return numbers.unionByName(odd).unionByName(words).unionByName(halves).distinct()
+    return odd.unionByName(words).unionByName(halves).distinct()
 
 
 _PARAGRAPHS = "title string, para_no int, text string"
 
 
-def repaired(contracts: DataFrame, pages: DataFrame, split: DataFrame, facts: DataFrame, fixes: DataFrame) -> DataFrame:
+def repaired(contracts: DataFrame, pages: DataFrame, split: DataFrame, facts: DataFrame, fixes: DataFrame, signs: DataFrame) -> DataFrame:
     """(title, para_no, text): scanned contracts as continuous paragraphs, without page furniture, cut words or known misreadings."""
     words = facts.filter("kind = 'word'").join(fixes, ["word", "before"]).select("title", "line_no", "word", "fix")
     joined = facts.filter("kind = 'joined'").join(fixes.filter("before is null").select("word", "fix"), "word").select("title", F.col("other").cast("int").alias("line_no"), "word", "fix")
-    numbers = facts.filter("kind = 'number'").select("title", "line_no", "word", F.lit(None).cast("string").alias("fix"))
-    changes = words.unionByName(joined).unionByName(numbers).groupBy("title").agg(F.collect_set(F.struct("line_no", "word", "fix")).alias("changes"))
+    other = facts.filter("kind in ('word', 'number')").join(signs, ["kind", "word"])
+    other = other.join(fixes.select("word", "before").distinct(), ["word", "before"], "left_anti").select("title", "line_no", "word", "fix")
+    changes = words.unionByName(joined).unionByName(other).groupBy("title").agg(F.collect_set(F.struct("line_no", "word", "fix")).alias("changes"))
     per = pages.groupBy("title").agg(F.collect_set("line_no").alias("pages")).join(split.groupBy("title").agg(F.collect_set("line_no").alias("cuts")), "title", "full").join(changes, "title", "full")
     scanned = contracts.join(facts.select("title").distinct(), "title", "left_semi").select("title", "doc_text")
 
@@ -351,7 +376,7 @@ def repaired(contracts: DataFrame, pages: DataFrame, split: DataFrame, facts: Da
             for title, text, gone, cuts, changed in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 fix: dict[int, dict[str, str]] = {}
                 for c in changed or ():
-                    fix.setdefault(c["line_no"], {})[c["word"]] = c["fix"] if c["fix"] is not None else _as_number(c["word"])
+                    fix.setdefault(c["line_no"], {})[c["word"]] = c["fix"]
                 rows += [(title, i, p) for i, p in enumerate(_paragraphs(_shown(text), set(gone or ()), set(cuts or ()), fix))]
             if rows:
                 yield _rows(_PARAGRAPHS, rows)
@@ -364,6 +389,13 @@ def _as_number(token: str) -> str:
     return head + dash + tail.translate(_DIGIT_LIKE)
 
 
+_LETTER_LIKE = str.maketrans("0156892!|", "olsbbgzil")
+
+
+def _as_letters(token: str) -> str:
+    return token.translate(_LETTER_LIKE)
+
+
 def _like(read: str, true: str) -> str:
     """The correction with the case of what was read."""
     return true.upper() if len(read) > 2 and read.isupper() else true[:1].upper() + true[1:] if read[:1].isupper() else true

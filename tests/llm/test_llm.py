@@ -282,11 +282,11 @@ def test_scanned_lines(spark):
     df = spark.createDataFrame(rows, "title string, doc_text string, line_no int").select("title", "doc_text")
     lexicon, pages = scans.vocabulary(df), kept(scans.page_lines(df))
     facts = scans.line_facts(df, pages)
-    split, fixes = kept(scans.split_words(facts, lexicon)), scans.repairs(facts, lexicon)
+    split, fixes, signs = kept(scans.split_words(facts, lexicon)), scans.repairs(facts, lexicon), scans.sign_repairs(facts, lexicon)
     assert {r.line_no for r in pages.collect()} == {3, 4} and pages.count() == 6
     assert {r.line_no for r in split.collect()} == {1}
-    assert {r.line_no for r in scans.misread_lines(facts, fixes, lexicon, split).collect()} == {5}
-    text = " ".join(r.text for r in scans.repaired(df, pages, split, facts, fixes).orderBy("title", "para_no").collect())
+    assert {r.line_no for r in scans.misread_lines(facts, fixes, signs, split).collect()} == {5}
+    text = " ".join(r.text for r in scans.repaired(df, pages, split, facts, fixes, signs).orderBy("title", "para_no").collect())
     assert "registered office of" in text and "at least once deliver the returnable goods with the non-exclusive labels" in text and "Page" not in text
     none = df.limit(0)
     assert scans.page_lines(none).count() == 0 and scans.line_facts(none, kept(scans.page_lines(none))).count() == 0

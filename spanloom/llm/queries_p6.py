@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scans import line_facts, misread_lines, page_lines, repaired, repairs, sign_repairs, split_words, vocabulary
+from .scans import line_facts, misread_lines, page_lines, repaired, repairs, scanned_contracts, sign_repairs, split_words, vocabulary
 from .shared import kept, table
 
 
@@ -13,8 +13,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of scanned contracts that are page furniture, end in a cut word, or hold a misread character."""
     contracts = table(spark, sf_dir, "cuadv1").select("title", "doc_text")
     lexicon = vocabulary(contracts)
-    pages = kept(page_lines(contracts))
-    facts = line_facts(contracts, pages)
+    scanned = scanned_contracts(contracts)
+    pages = kept(page_lines(scanned))
+    facts = line_facts(scanned, pages)
     split = kept(split_words(facts, lexicon))
     parts = {"page_line": pages, "split_word": split, "misread": misread_lines(facts, repairs(facts, lexicon), sign_repairs(facts, lexicon), split)}
     out = None
@@ -28,9 +29,10 @@ def p6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scanned contracts as continuous, repaired paragraphs."""
     contracts = table(spark, sf_dir, "cuadv1").select("title", "doc_text").filter("doc_text <> ''")
     lexicon = vocabulary(contracts)
-    pages = kept(page_lines(contracts))
-    facts = line_facts(contracts, pages)
-    return repaired(contracts, pages, kept(split_words(facts, lexicon)), facts, repairs(facts, lexicon), sign_repairs(facts, lexicon))
+    scanned = scanned_contracts(contracts)
+    pages = kept(page_lines(scanned))
+    facts = line_facts(scanned, pages)
+    return repaired(scanned, pages, kept(split_words(facts, lexicon)), facts, repairs(facts, lexicon), sign_repairs(facts, lexicon))
 
 
 QUERIES = {"p6_found": p6_found, "p6_paragraphs": p6_paragraphs}

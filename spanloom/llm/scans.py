@@ -266,17 +266,20 @@ def page_lines(contracts: DataFrame) -> DataFrame:
     return lines.filter("number").select("title", "line_no").unionByName(lines.filter("not number").join(running, "mask", "left_semi").select("title", "line_no"))
 
 
-def line_facts(contracts: DataFrame, pages: DataFrame) -> DataFrame:
-    """Words, numbers and joins of the contract text of scanned contracts, line by line."""
-    per = pages.groupBy("title").agg(F.collect_list("line_no").alias("pages"))  # the page lines of one contract
-    texts = contracts.select("title", "doc_text").filter("doc_text <> ''")
+def scanned_contracts(contracts: DataFrame) -> DataFrame:
+    """(title, doc_text) of the contracts that were read off page images, written once so that what follows doesn't look at the others again."""
 
     def only_scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             keep = [is_scanned(_shown(t)) for t in b.column(1).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    scanned = texts.mapInArrow(only_scanned, "title string, doc_text string")
+    return kept(contracts.select("title", "doc_text").filter("doc_text <> ''").mapInArrow(only_scanned, "title string, doc_text string"))
+
+
+def line_facts(scanned: DataFrame, pages: DataFrame) -> DataFrame:
+    """Words, numbers and joins of the contract text of scanned contracts, line by line."""
+    per = pages.groupBy("title").agg(F.collect_list("line_no").alias("pages"))  # the page lines of one contract
     return kept(scanned.join(per, "title", "left").mapInArrow(_facts, _FACTS))
 
 

@@ -280,8 +280,10 @@ def test_scanned_lines(spark):
     rows = [(f"c{i}", clean, 1) for i in range(12)] + [(f"Abcdef {k}_1-EX-1-X", scanned_contract(f"Abcdef {k}", i + 1), 1) for i, k in enumerate(["One", "Two", "Six"])]
     rows += [("n", None, 1), ("e", "", 1), (None, clean, 1), ("long", "x" * 100_000, 1)]
     df = spark.createDataFrame(rows, "title string, doc_text string, line_no int").select("title", "doc_text")
-    lexicon, pages = scans.vocabulary(df), kept(scans.page_lines(df))
-    facts = scans.line_facts(df, pages)
+    lexicon, scanned = scans.vocabulary(df), scans.scanned_contracts(df)
+    pages = kept(scans.page_lines(scanned))
+    facts = scans.line_facts(scanned, pages)
+    assert {r.title for r in scanned.collect()} == {t for t, *_ in rows if t and t.startswith("Abcdef")} and scans.page_lines(df).count() == pages.count()
     split, fixes, signs = kept(scans.split_words(facts, lexicon)), scans.repairs(facts, lexicon), scans.sign_repairs(facts, lexicon)
     assert {r.line_no for r in pages.collect()} == {3, 4} and pages.count() == 6
     assert {r.line_no for r in split.collect()} == {1}
@@ -289,7 +291,7 @@ def test_scanned_lines(spark):
     text = " ".join(r.text for r in scans.repaired(df, pages, split, facts, fixes, signs).orderBy("title", "para_no").collect())
     assert "registered office of" in text and "at least once deliver the returnable goods with the non-exclusive labels" in text and "Page" not in text
     none = df.limit(0)
-    assert scans.page_lines(none).count() == 0 and scans.line_facts(none, kept(scans.page_lines(none))).count() == 0
+    assert scans.page_lines(none).count() == 0 and scans.line_facts(scans.scanned_contracts(none), kept(scans.page_lines(none))).count() == 0
 
 
 def test_headers_as_wide_as_the_text(spark):

@@ -2,7 +2,7 @@
 
 The join is on the document's key with the interval as residual condition, so Spark hashes or
 merges on the key instead of comparing everything with everything.  Answers of one document may be many:
-``clip`` can bucket places so that one hot document is spread over several tasks.
+places are bucketed, so that one hot document is spread over several tasks.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from .spans import overlap, within
 
 
-def contained(answers: DataFrame, parts: DataFrame, key: str) -> DataFrame:
-    """Answers (start_pos, end_pos) that lie wholly in a part (offset, length), in its own coordinates."""
-    p = parts.withColumnRenamed(key, "_key")
+def contained(answers: DataFrame, parts: DataFrame, key: str, bucket: int = 1 << 16) -> DataFrame:
+    """Answers (start_pos, end_pos) that lie wholly in a part (offset, length), in its own coordinates; joined by key and by the bucket in which an answer starts."""
     lo, hi = F.col("offset"), F.col("offset") + F.col("length") - 1
-    inside = answers.join(p, (answers[key] == p["_key"]) & within(answers["start_pos"], answers["end_pos"], lo, hi)).drop("_key")
+    p = parts.filter("length > 0").withColumnRenamed(key, "_key").withColumn("_b", F.explode(F.sequence(F.floor(lo / bucket), F.floor(hi / bucket))))
+    inside = answers.join(p, (answers[key] == p["_key"]) & (F.floor(answers["start_pos"] / bucket) == p["_b"]) & within(answers["start_pos"], answers["end_pos"], lo, hi)).drop("_key", "_b")
     return inside.withColumn("start_pos", F.col("start_pos") - F.col("offset")).withColumn("end_pos", F.col("end_pos") - F.col("offset"))
 
 

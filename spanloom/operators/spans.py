@@ -44,14 +44,17 @@ def complement(spans: DataFrame, lengths: DataFrame, key: str, start: str, end:
 def atoms(spans: DataFrame, lengths: DataFrame, key: str, start: str, end: str, label: str, length: str) -> DataFrame:
     """Each document cut into the longest runs under the same labels: (key, start, end, labels), exclusive ends.
 
-    A sweep: at each place labels open and close, counts per label are run up, and equal neighbours become one.
+    The places where a span begins or ends are numbered in each document; a span covers the pieces between the numbers of its
+    ends, so it meets only pieces that it covers.  Equal neighbours become one; empty spans cover nothing.
     """
     rows = spans.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).select(key, F.col(start).cast("int").alias("s"), F.col(end).cast("int").alias("e"), F.col(label).cast("string").alias("l"))
     ends = rows.select(key, F.explode(F.array("s", "e")).alias("p")).unionByName(lengths.select(key, F.explode(F.array(F.lit(0), F.col(length).cast("int"))).alias("p"))).distinct()
     order = Window.partitionBy(key).orderBy("p")
-    pieces = ends.select(key, F.col("p").alias("a"), F.lead("p").over(order).alias("b")).filter("b is not null")
-    covered = pieces.join(rows, [pieces[key] == rows[key], rows["s"] <= pieces["a"], rows["e"] >= pieces["b"]], "left").select(pieces[key], "a", "b", "l")
-    sets = covered.groupBy(key, "a", "b").agg(F.array_sort(F.collect_set("l")).alias("labels"))  # labels, few by nature
+    numbered = ends.select(key, F.col("p").alias("a"), F.lead("p").over(order).alias("b"), F.row_number().over(order).alias("r"))
+    number = lambda p, r: numbered.select(key, F.col("a").alias(p), F.col("r").alias(r))
+    placed = rows.filter("s < e").distinct().join(number("s", "r0"), [key, "s"]).join(number("e", "r1"), [key, "e"])
+    covered = placed.select(key, "l", F.explode(F.sequence(F.col("r0"), F.col("r1") - 1)).alias("r"))
+    sets = numbered.filter("b is not null").join(covered, [key, "r"], "left").groupBy(key, "a", "b").agg(F.array_sort(F.collect_set("l")).alias("labels"))  # labels, few by nature
     order = Window.partitionBy(key).orderBy("a")
     marked = sets.withColumn("_new", F.coalesce((F.lag("labels").over(order) != F.col("labels")).cast("int"), F.lit(1)))
     runs = marked.withColumn("_g", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -27,12 +27,14 @@ def _answers(t):
  select 'answers', count(*)::bigint, count(*) filter (a.text is distinct from substr(c.doc_text, a.start_pos + 1, a.end_pos - a.start_pos + 1))::bigint from answers a join cuadv1 c using (title)""")
 def gold_span_check(t):
     """How many annotated texts aren't the text at their place."""
-    docs = t("cuadv1").select("title", "doc_text")
-    own = t("cuadv1").select("title", "doc_text", F.explode("qas").alias("q")).select("title", "doc_text", F.explode("q.answers").alias("a"))
-    own = own.select(F.lit("contracts").alias("source"), "doc_text", "a.text", "a.start_pos", "a.end_pos")
-    flat = t("answers").select("title", "text", "start_pos", "end_pos").join(docs, "title").select(F.lit("answers").alias("source"), "doc_text", "text", "start_pos", "end_pos")
-    at = F.substr("doc_text", F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos") + 1)
-    return own.unionByName(flat).groupBy("source").agg(F.count("*").alias("checked"), F.sum((~at.eqNullSafe(F.col("text"))).cast("bigint")).alias("differing"))
+    at = lambda start, end: F.substr("doc_text", start + 1, end - start + 1)
+    all_ = F.flatten(F.transform("qas", lambda q: F.coalesce(q["answers"], F.lit(None).cast("array<struct<text:string,start_pos:int,end_pos:int>>"))))
+    own = t("cuadv1").select(F.filter("qas", lambda q: q["answers"].isNotNull()).alias("qas"), "doc_text").select(all_.alias("a"), "doc_text")
+    differing = F.size(F.filter("a", lambda a: ~at(a["start_pos"], a["end_pos"]).eqNullSafe(a["text"])))
+    own = own.agg(F.lit("contracts").alias("source"), F.coalesce(F.sum(F.size("a")), F.lit(0)).alias("checked"), F.coalesce(F.sum(differing), F.lit(0)).alias("differing"))
+    flat = t("answers").select("title", "text", "start_pos", "end_pos").join(t("cuadv1").select("title", "doc_text"), "title")
+    flat = flat.agg(F.lit("answers").alias("source"), F.count("*").alias("checked"), F.sum((~at(F.col("start_pos"), F.col("end_pos")).eqNullSafe(F.col("text"))).cast("bigint")).alias("differing"))
+    return own.unionByName(flat)
 
 
 @C.add(f"""with {PARTS}, {ANSWERS} select p.para_id, answer_id, q_id, s - o start_pos, e - o end_pos from ans join parts p on ans.title = p.title and s >= o and e <= o + n - 1""")

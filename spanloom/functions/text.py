@@ -167,6 +167,25 @@ def zero_shot_plain(prediction: Column, paragraph: Column) -> Column:
     return F.when(p == "No", F.lit("")).when(p == "Yes", F.coalesce(paragraph, F.lit(""))).otherwise(p)
 
 
+def is_positive(prompt: Column, target: Column) -> Column:
+    """Whether a sample has an answer: by its prompt, if there is one (it doesn't end in None), else by its target (it doesn't begin with None)."""
+    return F.coalesce(~prompt.endswith("None"), ~target.startswith("None"))
+
+
+def tokenizer_of(path: Column) -> Column:
+    """The tokenizer that the runs below a path use, by the model's name in it; null for others."""
+    # Part of the path, and the tokenizer's name, the first that fits.
+    out = None
+    for part, name in (("t5", "flan-t5"), ("llama3", "llama3"), ("mistral", "mistral")):
+        out = F.when(path.contains(part), name) if out is None else out.when(path.contains(part), name)
+    return out
+
+
+def answer_or_none(text: Column) -> Column:
+    """'None' for an empty answer."""
+    return F.when(text == "", F.lit("None")).otherwise(text)
+
+
 def source_and_target(prompt: Column, mark: str = "Answer:\n") -> Column:
     """(source, target) around the first mark; all is source without one."""
     at = F.instr(prompt, mark)

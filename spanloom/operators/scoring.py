@@ -25,6 +25,12 @@ def first_delivery(samples: DataFrame, keys: tuple[str, ...] = KEYS, by: str = "
     return samples.groupBy(*keys).agg(F.min(F.struct(by, *[c for c in rest if c != by])).alias("r")).select(*keys, *[f"r.{c}" for c in rest])
 
 
+def with_kind(samples: DataFrame) -> DataFrame:
+    """Samples with ``kind``: the column type where there is one, else the older small."""
+    have = [c for c in ("type", "small") if c in samples.columns]
+    return samples.withColumn("kind", F.coalesce(*have) if have else F.lit(None).cast("int"))
+
+
 def facts(predictions: DataFrame, gold: DataFrame, parse: Callable[[Column], Column], keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Predictions with their token counts; ``gold`` has a text in column ``gold``, ``parse`` reads the prediction."""
     both = predictions.join(gold.select(*keys, "gold"), list(keys), "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("texts", "spans", "segments", "scores", "samples", "decoding", "reports", "corpus", "stored")
+MODULES = ("texts", "spans", "segments", "scores", "samples", "decoding", "reports", "corpus", "stored", "extras")
 
 QUERIES: dict = {}
 SQL: dict = {}

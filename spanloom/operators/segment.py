@@ -20,7 +20,7 @@ def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
     return placed.filter("length > 0").select(key, (F.row_number().over(Window.partitionBy(key).orderBy("i")) - 1).alias("para_idx"), "offset", "length", "text")
 
 
-def _fold(lengths: Column, new, grown) -> Column:
+def _fold(lengths: Column, new, grown, finish=None) -> Column:
     """Group numbers: an item opens a group where ``new`` (size of the open group, item) says so, else the group grows to ``grown`` of the two.
 
     Only the places where groups open are gathered on the way.
@@ -34,9 +34,19 @@ def _fold(lengths: Column, new, grown) -> Column:
             F.when(opens, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"),
         )
 
-    starts = F.aggregate(lengths, begin, step, lambda acc: acc["starts"])
-    after = lambda g: F.coalesce(F.get(starts, g + 1), F.size(lengths))
-    return F.flatten(F.transform(starts, lambda s, g: F.array_repeat(g, after(g) - s)))
+    # within the finish, the places are at hand and aren't worked out again for each group
+    repeat = lambda acc: lambda s, g: F.array_repeat(g, F.coalesce(F.get(acc["starts"], g + 1), acc["i"]) - s)
+    return F.aggregate(lengths, begin, step, finish or (lambda acc: F.flatten(F.transform(acc["starts"], repeat(acc)))))
+
+
+def merged_count(lengths: Column, least: int = 300) -> Column:
+    """How many groups ``merge_short`` makes of a row's items."""
+    return _fold(lengths, lambda size, n: size >= least, lambda size, n: size + n + 1, lambda acc: F.size(acc["starts"]))
+
+
+def merged_groups(lengths: Column, least: int = 300) -> Column:
+    """The group of each of a row's items, as ``merge_short`` would number them."""
+    return _fold(lengths, lambda size, n: size >= least, lambda size, n: size + n + 1)
 
 
 def _grouped(items: DataFrame, key: str, order: str, size: str, fold: Column) -> DataFrame:
@@ -49,7 +59,7 @@ def _grouped(items: DataFrame, key: str, order: str, size: str, fold: Column) ->
 
 def merge_short(items: DataFrame, key: str, order: str, size: str, least: int = 300) -> DataFrame:
     """Greedy merge: neighbours join until their group has ``least`` signs, counting one sign between two; the last may stay short."""
-    return _grouped(items, key, order, size, _fold(F.col("ns"), lambda size, n: size >= least, lambda size, n: size + n + 1))
+    return _grouped(items, key, order, size, merged_groups(F.col("ns"), least))
 
 
 def pack_greedy(items: DataFrame, key: str, order: str, size: str, most: int) -> DataFrame:

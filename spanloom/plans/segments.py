@@ -45,13 +45,14 @@ def paragraph_merge_short(t):
  union all select 'after', count(*)::bigint, count(distinct title)::bigint, round(count(*) / count(distinct title), 6), round(avg(n), 6) from m""")
 def paragraph_merge_stats(t):
     """Paragraphs per contract and their mean length, before and after merging short ones."""
-    paras = _paras(t).select("title", "para_idx", "length")
-    groups = S.merge_short(paras, "title", "para_idx", "length", 300)
-    merged = paras.join(groups, ["title", "para_idx"]).groupBy("title", "group").agg((F.sum("length") + F.count("*") - 1).alias("length"))
-    stat = lambda df, name: df.groupBy("title").agg(F.count("*").alias("k"), F.sum("length").alias("n")).agg(
-        F.lit(name).alias("stage"), F.coalesce(F.sum("k"), F.lit(0)).alias("paragraphs"), F.count("*").alias("docs"), F.round(F.sum("k") / F.count("*"), 6).alias("per_doc"), F.round(F.sum("n") / F.sum("k"), 6).alias("mean_length")
+    lengths = F.filter(F.transform(F.split("doc_text", "\n"), F.length), lambda n: n > 0)
+    docs = t("cuadv1").select(lengths.alias("ns")).filter(F.size("ns") > 0)  # a row a contract, never a row a paragraph
+    docs = docs.select(F.size("ns").alias("k"), F.aggregate("ns", F.lit(0).cast("bigint"), lambda a, n: a + n).alias("n"), S.merged_count(F.col("ns")).alias("g"))
+    one = docs.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k"), F.sum("n").alias("n"), F.coalesce(F.sum("g"), F.lit(0)).alias("g"), F.count("*").alias("docs"))
+    row = lambda name, count, total: F.struct(
+        F.lit(name).alias("stage"), F.col(count).alias("paragraphs"), F.col("docs"), F.round(F.col(count) / F.nullif("docs", F.lit(0)), 6).alias("per_doc"), F.round(total / F.nullif(count, F.lit(0)), 6).alias("mean_length")
     )
-    return stat(paras, "before").unionByName(stat(merged, "after"))
+    return one.select(F.inline(F.array(row("before", "k", F.col("n")), row("after", "g", F.col("n") + F.col("k") - F.col("g")))))
 
 
 @C.add("""select para_id, len(list_filter(string_split(text, ' '), lambda x: x <> ''))::bigint words from paras where len(list_filter(string_split(text, ' '), lambda x: x <> '')) > 0""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import tokens
@@ -20,6 +20,12 @@ def counts(gold: Column, predicted: Column) -> tuple[Column, Column, Column]:
     return F.size(g), F.size(p), joint(g, p)
 
 
+def with_counts(rows: DataFrame, gold: Column, predicted: Column) -> DataFrame:
+    """``rows`` with n_gold, n_pred and n_joint.  Tokens get a projection of their own, or they would be worked out again for every word compared."""
+    words = rows.withColumns({"_g": tokens(gold), "_p": tokens(predicted)})
+    return words.withColumns({"n_gold": F.size("_g"), "n_pred": F.size("_p"), "n_joint": joint(F.col("_g"), F.col("_p"))}).drop("_g", "_p")
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0))
 

@@ -34,8 +34,7 @@ def with_kind(samples: DataFrame) -> DataFrame:
 def facts(predictions: DataFrame, gold: DataFrame, parse: Callable[[Column], Column], keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Predictions with their token counts; ``gold`` has a text in column ``gold``, ``parse`` reads the prediction."""
     both = predictions.join(gold.select(*keys, "gold"), list(keys), "left")
-    n_gold, n_pred, n_joint = M.counts(F.col("gold"), parse(F.col("prediction")))
-    return both.select(*keys, "type", n_gold.alias("n_gold"), n_pred.alias("n_pred"), n_joint.alias("n_joint"))
+    return M.with_counts(both, F.col("gold"), parse(F.col("prediction"))).select(*keys, "type", *COUNTS)
 
 
 def total(rows: DataFrame, *by: str) -> DataFrame:

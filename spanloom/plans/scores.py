@@ -126,8 +126,7 @@ def gold_pred_full_outer(t):
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_idx", c))), lambda x: x[c]), " ").alias(c)
     )
     both = glue(_gold(t), "gold").join(glue(t("predictions").withColumn("pred", T.predicted_text(F.col("prediction"))), "pred"), ["title", "q_id"], "full_outer")
-    g, p, j = M.counts(F.col("gold"), F.col("pred"))
-    return both.select("title", "q_id", g.alias("n_gold"), p.alias("n_pred"), j.alias("n_joint"))
+    return M.with_counts(both, F.col("gold"), F.col("pred")).select("title", "q_id", *S.COUNTS)
 
 
 _NA = "((('0x' || substr(md5('7|' || p.title || '|' || p.para_idx || '|' || p.q_id), 1, 13))::bigint + 1)::double / 4503599627370497::double)"

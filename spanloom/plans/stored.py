@@ -127,7 +127,6 @@ def score_missing_runs(t):
     lacking = files.registry(files.run_tree(spark, at)).filter("pred_all and not metric_all").select(*run)
     said = files.run_predictions(spark, at, "all", "title string, para_idx int, q_id int, type int, prediction string").join(lacking, run)
     gold = _gold(t).select("title", "para_idx", "q_id", "gold")
-    n_gold, n_pred, n_joint = S.M.counts(F.col("gold"), T.predicted_text(F.col("prediction")))
-    rows = said.join(gold, ["title", "para_idx", "q_id"], "left").select(*run, n_gold.alias("n_gold"), n_pred.alias("n_pred"), n_joint.alias("n_joint"))
+    rows = S.M.with_counts(said.join(gold, ["title", "para_idx", "q_id"], "left"), F.col("gold"), T.predicted_text(F.col("prediction")))
     counts = rows.groupBy(*run).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in S.COUNTS])
     return S.scored(counts).select(*run, "n", *[F.round(c, 6).alias(c) for c in ("p", "r", "f1")])

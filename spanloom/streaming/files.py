@@ -30,6 +30,12 @@ def after(rows: DataFrame, file_index: int, chunk_index: int) -> DataFrame:
     return rows.filter((F.col("file_index") > file_index) | ((F.col("file_index") == file_index) & (F.col("chunk_index") > chunk_index)))
 
 
+def seeded_order(paths: DataFrame, seed: int, parts: int = 1, path: str = "path") -> DataFrame:
+    """Paths in a seeded order that doesn't depend on how they were listed: ``lot`` sorts them, ``part`` divides them among readers."""
+    lot = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(path)))
+    return paths.withColumn("lot", lot).withColumn("part", F.pmod(F.conv(F.substring("lot", 1, 8), 16, 10).cast("bigint"), F.lit(parts)).cast("int"))
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below the one that all executors share; a local one only in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)

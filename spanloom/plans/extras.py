@@ -222,3 +222,27 @@ def gold_by_paragraph(t):
     rows = _gold(t).filter("gold <> ''").groupBy("title", "para_idx").agg(F.array_sort(F.collect_list(F.struct("q_id", "gold"))).alias("x"))  # 41 at most
     gold = rows.select("title", "para_idx", F.array_join(F.transform("x", lambda v: v["gold"]), "\n").alias("gold"))
     return t("predictions").join(gold, ["title", "para_idx"], "left").select("title", "para_idx", "q_id", F.md5(F.coalesce("gold", F.lit(""))).alias("gold_md5"))
+
+
+def _tokenizer() -> tuple[str, str]:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+@C.add()
+def word_subwords(t):
+    """Which word each subword token of a paragraph belongs to, and where each word's tokens begin."""
+    from ..functions.subwords import word_maps
+
+    maps = t("paras").select("para_id", word_maps(F.col("text"), *_tokenizer()).alias("m"))
+    return maps.select("para_id", "m.token_word", "m.word_token")
+
+
+@C.add()
+def tokenizer_round_trip(t):
+    """Paragraphs by source, and how many of them come back unchanged from their tokens."""
+    from ..functions.subwords import round_trips
+
+    rows = t("paras").select("source", round_trips(F.col("text"), *_tokenizer()).alias("same"))
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count("same").alias("texts"), F.sum(F.col("same").cast("bigint")).alias("unchanged"))

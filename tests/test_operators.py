@@ -1,10 +1,13 @@
 """Small cases worked by hand, nulls, empty tables, and invariants."""
 
+import base64
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import metrics as M
+from spanloom.functions import subwords
 from spanloom.functions import text as T
 from spanloom.operators import annotate, decode, prompts, rebase, runs, sampling, scoring, segment, spans
 from spanloom.sources import files
@@ -291,3 +294,20 @@ def test_windows_with_labels(spark):
     got = [tuple(r) for r in segment.labelled_windows(q, words, n, "k", 6, 4, 2).select("q", "start", "length", "start_position", "end_position", "is_impossible").orderBy("q", "start").collect()]
     # words 4 and 5 are in both windows; question 3 begins at a blank
     assert got == [(1, 0, 6, 6, 7, False), (1, 4, 6, 2, 3, False), (2, 0, 6, 0, 0, True), (2, 4, 6, 0, 0, True), (3, 0, 6, 0, 0, True), (3, 4, 6, 0, 0, True)]
+
+
+def test_subwords_of_words(spark):
+    P, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
+    path = str(P.path("byte_bpe_50k.tiktoken"))
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["The indemnification clause  naïve\n漢字 x", "", None, "word"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    got = df.select("i", subwords.word_maps(F.col("t"), path, P.PATTERN).alias("m"), subwords.round_trips(F.col("t"), path, P.PATTERN).alias("same")).orderBy("i").collect()
+    for r, text in zip(got, texts, strict=True):
+        if text is None:
+            assert r.m is None and r.same is None
+            continue
+        pieces = [encoding.encode_ordinary(w) for w in text.split()]
+        assert r.m.token_word == [i for i, p in enumerate(pieces) for _ in p] and r.same
+        assert r.m.word_token == [sum(map(len, pieces[:i])) for i in range(len(pieces))]

@@ -136,7 +136,7 @@ def window_labels(t):
 def sampled_windows(t):
     """Per question the windows with its answer and as many without; one of a question without answer, none where the answer is in no window."""
     rows = _windows(t).select("title", "q_id", "none", "start", "is_impossible")
-    return sampling.balance(rows, ["title", "q_id"], ["title", "q_id", "start"], ~F.col("is_impossible"), SEED, F.when(F.max("none"), 1).otherwise(0)).select("title", "q_id", "start", "is_impossible")
+    return sampling.balance(rows, ["title", "q_id"], ["title", "q_id", "start"], ~F.col("is_impossible"), SEED, F.when(F.max("none"), 1).otherwise(0), spread=False).select("title", "q_id", "start", "is_impossible")
 
 
 @C.add("""with g as (select title, old_para_idx, count(*) parts, string_agg(coalesce(text, ''), '' order by para_idx, para_id) whole, min("offset") o from paras where old_para_idx is not null group by all),

@@ -5,6 +5,7 @@ Every step is a window over the question, so questions spread over tasks; ties a
 
 Features are windows over a document: (qa, feature, start_scores, end_scores, context_offset, context_length) and, if places
 are to be those of the document, context_shift (document token less place in the window).  Place 0 stands for no answer.
+Instead of the scores they may have what ``proposals`` makes of them.
 """
 
 from __future__ import annotations
@@ -19,31 +20,49 @@ def spans(features: DataFrame, n: int, longest: int) -> DataFrame:
     return _spans(features, n, longest).drop("shift")
 
 
-def _spans(features: DataFrame, n: int, longest: int) -> DataFrame:
-    def best(scores: str):
-        pairs = F.transform(F.col(scores), lambda x, i: F.struct((-x.cast("double")).alias("s"), i.alias("i")))
-        return F.slice(F.array_sort(pairs), 1, n)
+def proposals(scores: DataFrame, n: int, longest: int) -> DataFrame:
+    """``scores`` with ``pairs`` (start, end, score) of the ``n`` best starts and ends, and ``none``, the score of no answer, in place of the scores.
+
+    Features that share vectors of scores are joined with these, so that pairs are worked out once a vector; they hold for the same ``n`` and ``longest``.
+    """
+
+    def best(c: str):
+        places = F.transform(F.col(c), lambda x, i: F.struct((-x.cast("double")).alias("s"), i.alias("i")))
+        return F.slice(F.array_sort(places), 1, n)
+
+    def pair(a):
+        return lambda b: F.struct(a["i"].alias("start"), b["i"].alias("end"), F.round(-a["s"] - b["s"], 6).alias("score"))
+
+    fits = lambda a: lambda b: (b["i"] >= a["i"]) & (b["i"] - a["i"] + 1 <= longest)
+    # a row of one item, so that the best ends aren't sorted again for each start
+    both = F.array(F.struct(best("start_scores").alias("a"), best("end_scores").alias("b")))
+    pairs = F.flatten(F.flatten(F.transform(both, lambda x: F.transform(x["a"], lambda a: F.transform(F.filter(x["b"], fits(a)), pair(a))))))
+    none = F.round(F.get("start_scores", F.lit(0)).cast("double") + F.get("end_scores", F.lit(0)).cast("double"), 6)
+    return scores.select(*[c for c in scores.columns if c not in ("start_scores", "end_scores")], pairs.alias("pairs"), none.alias("none"))
 
+
+def _spans(features: DataFrame, n: int, longest: int) -> DataFrame:
+    found = features if "pairs" in features.columns else proposals(features, n, longest)
     shift = F.col("context_shift").cast("int") if "context_shift" in features.columns else F.lit(0)
     low, high = F.col("context_offset"), F.col("context_offset") + F.col("context_length") - 1
-    both = features.select("qa", "feature", shift.alias("shift"), low.alias("low"), high.alias("high"), F.explode(best("start_scores")).alias("a"), best("end_scores").alias("bs"))
-    both = both.filter((F.col("a.i") >= F.col("low")) & (F.col("a.i") <= F.col("high"))).select("*", F.explode("bs").alias("b"))
-    inside = (F.col("b.i") >= F.col("a.i")) & (F.col("b.i") <= F.col("high")) & (F.col("b.i") - F.col("a.i") + 1 <= longest)
-    return both.filter(inside).select("qa", "feature", F.col("a.i").alias("start"), F.col("b.i").alias("end"), F.round(-F.col("a.s") - F.col("b.s"), 6).alias("score"), "shift")
+    found = found.select("qa", "feature", shift.alias("shift"), low.alias("low"), high.alias("high"), F.explode("pairs").alias("p"))
+    inside = (F.col("p.start") >= F.col("low")) & (F.col("p.start") <= F.col("high")) & (F.col("p.end") <= F.col("high"))
+    return found.filter(inside).select("qa", "feature", "p.start", "p.end", "p.score", "shift")
 
 
 def null_scores(features: DataFrame) -> DataFrame:
     """(qa, feature, score) of the feature whose place 0 has the least score: the score of no answer."""
-    none = features.select("qa", "feature", F.round(F.get("start_scores", F.lit(0)).cast("double") + F.get("end_scores", F.lit(0)).cast("double"), 6).alias("score"))
-    return none.groupBy("qa").agg(F.min(F.struct("score", "feature")).alias("m")).select("qa", "m.feature", "m.score")
+    none = features if "none" in features.columns else proposals(features, 1, 1)
+    return none.groupBy("qa").agg(F.min(F.struct(F.col("none").alias("score"), "feature")).alias("m")).select("qa", "m.feature", "m.score")
 
 
-def n_best(features: DataFrame, n: int, longest: int, tokens: DataFrame | None = None) -> DataFrame:
+def n_best(features: DataFrame, n: int, longest: int, tokens: DataFrame | None = None, small: bool = False) -> DataFrame:
     """(qa, rank, feature, start, end, score, prob): the ``n`` best distinct answers of each question, no answer (start and end -1) among them.
 
     Where no answer isn't among the best ``n`` it follows as one more.  The same place met in several windows counts once, with its
     best score.  start and end are tokens of the document; with ``tokens`` (qa, tok_i, c_start, c_end; ends exclusive) places
     are compared, and given as char_start and char_end (inclusive), in signs.  Probabilities are over the rows returned.
+    ``small``: questions are many and of few features, so their spans move once, by question; else by place first, and only the distinct ones by question.
     """
     start, end = F.col("start") + F.col("shift"), F.col("end") + F.col("shift")
     nothing = F.col("start") <= 0
@@ -56,6 +75,8 @@ def n_best(features: DataFrame, n: int, longest: int, tokens: DataFrame | None =
         last = tokens.select("qa", F.col("tok_i").alias("end"), (F.col("c_end") - 1).alias("char_end"))
         found = found.join(first, ["qa", "start"], "left").join(last, ["qa", "end"], "left")
         found = found.withColumns({c: F.when(F.col("start") < 0, -1).otherwise(F.col(c)) for c in place})
+    if small:
+        found = found.repartition("qa")
     rows = Window.partitionBy("qa")
     order = rows.orderBy(F.desc("score"), F.col("start") < 0, "start", "end", "feature")
     one = Window.partitionBy("qa", *place).orderBy(F.desc("score"), "start", "end", "feature")
@@ -72,6 +93,24 @@ def with_text(ranked: DataFrame, documents: DataFrame) -> DataFrame:
     return ranked.join(documents.select("qa", "text"), "qa", "left").withColumn("text", F.when(F.col("start") < 0, F.lit("")).otherwise(cut))
 
 
+def with_words(ranked: DataFrame, documents: DataFrame, blank: str = " ") -> DataFrame:
+    """``ranked`` with char_start, char_end (inclusive) and text of each answer, -1 and '' for no answer, where tokens are the words between blanks.
+
+    documents: (qa, text).  Words have signs of their own, so answers distinct in words are distinct in signs: places in signs are worked out only
+    for the answers that are left, each in its row.  Documents are never broadcast: their size in files, compressed, says little of their size in memory.
+    """
+    parts = F.split("text", blank)
+    numbers = F.filter(F.transform(parts, lambda w, i: F.when(w != "", i)), lambda i: i.isNotNull())
+    docs = documents.select("qa", F.col("text").alias("_t"), F.when(F.array_contains(parts, ""), numbers).alias("_at"))  # null: word numbers are part numbers
+    part = lambda c: F.coalesce(F.get("_at", F.col(c)), F.col(c))
+    before = lambda k: F.length(F.call_function("substring_index", F.col("_t"), F.lit(blank), k))
+    none = F.col("start") < 0
+    first = F.when(none, -1).otherwise(before(part("start")) + F.when(part("start") > 0, len(blank)).otherwise(0))
+    rows = ranked.join(docs.hint("merge"), "qa", "left").withColumns({"char_start": first, "char_end": F.when(none, -1).otherwise(before(part("end") + 1) - 1)})
+    cut = F.substring("_t", F.col("char_start") + 1, F.col("char_end") - F.col("char_start") + 1)
+    return rows.select(*ranked.columns, "char_start", "char_end", F.when(none, F.lit("")).otherwise(cut).alias("text"))
+
+
 def answers(ranked: DataFrame, *keep: str) -> DataFrame:
     """(qa, start, end, score_best, score_null): the best of all where it beats no answer, else -1; and the columns of ``keep`` ('' likewise)."""
     best = F.min(F.when(F.col("start") >= 0, F.struct("rank", "start", "end", "score", *keep)))

@@ -76,6 +76,11 @@ def words_with_places(texts: DataFrame, key: str, text: str, blank: str = " ") -
     return placed.select(key, number.alias("tok_i"), "c_start", (F.col("c_start") + F.col("n")).alias("c_end"))
 
 
+def word_count(text: Column, blank: str = " ") -> Column:
+    """How many words ``words_with_places`` makes of a text, counted in its row."""
+    return F.array_size(F.array_remove(F.split(text, blank), ""))
+
+
 def token_blocks(tokens: DataFrame, key: str, most: int) -> DataFrame:
     """(key, block, c_start, c_end, n_tokens): blocks of ``most`` tokens as spans of signs; blanks between blocks are dropped."""
     return tokens.groupBy(key, F.floor(F.col("tok_i") / most).cast("int").alias("block")).agg(F.min("c_start").alias("c_start"), F.max("c_end").alias("c_end"), F.count("*").cast("int").alias("n_tokens"))

@@ -79,17 +79,18 @@ _TEXT = f"""{_WIN}, {_NULL}, pool as (select s.*, x.c_start char_start, y.c_end
 
 def _window_answers(t):
     docs = t("paras").select(F.col("para_id").alias("qa"), "text")
-    tokens = segment.words_with_places(docs, "qa", "text")
-    n = tokens.groupBy("qa").agg(F.count("*").cast("int").alias("n"))
-    win = n.select("qa", "n", F.explode(segment.windows(F.col("n"), 24, 12)).alias("s"))
-    vectors = t("embeddings")
-    win = win.crossJoin(F.broadcast(vectors.agg(F.count("*").alias("k"))))  # one row
+    n = docs.select("qa", segment.word_count(F.col("text")).alias("n"))
+    # outer: else a filter on the windows is pushed below the count, which is then made again for each window
+    win = n.select("qa", "n", F.explode_outer(segment.windows(F.col("n"), 24, 12)).alias("s")).filter("s is not null")
+    e = t("embeddings")
+    vectors = decode.proposals(e.select("vec_id", F.slice("embedding", 1, 32).alias("start_scores"), F.slice("embedding", 33, 32).alias("end_scores")), 5, 12)
+    win = win.crossJoin(F.broadcast(e.agg(F.count("*").alias("k"))))  # one row
     win = win.withColumn("feature", F.floor(F.col("s") / 12)).withColumn("vec_id", F.pmod(F.col("qa") * 13 + F.col("feature"), F.col("k")))
-    features = win.join(vectors.select("vec_id", "embedding"), "vec_id").select(
-        "qa", "feature", F.slice("embedding", 1, 32).alias("start_scores"), F.slice("embedding", 33, 32).alias("end_scores"), F.lit(4).alias("context_offset"),
-        F.least(F.lit(24), F.col("n") - F.col("s")).alias("context_length"), (F.col("s") - 4).alias("context_shift"),
+    features = win.hint("merge").join(vectors, "vec_id").select(  # windows are estimated by compressed files, far too low for a broadcast
+        "qa", "feature", "pairs", "none", F.lit(4).alias("context_offset"), F.least(F.lit(24), F.col("n") - F.col("s")).alias("context_length"), (F.col("s") - 4).alias("context_shift"),
     )
-    return decode.with_text(decode.n_best(features, 5, 12, tokens), docs)
+    ranked = decode.with_words(decode.n_best(features, 5, 12, small=True), docs)
+    return ranked.select("qa", "rank", "feature", "start", "end", "char_start", "char_end", "score", "prob", "text")
 
 
 @C.add(f"with {_TEXT} select * from nb")

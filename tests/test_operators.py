@@ -252,6 +252,24 @@ def test_overlapping_windows_share_answers(spark):
     assert decode.n_best(df.limit(0), 2, 3, tokens).count() == 0
 
 
+def test_places_of_words_within_the_row(spark):
+    texts = ["ab cd ef", "  ab   cd ", "äö\u200bü 😀😀  x", "one", "", " ", None, "a  b c" * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "qa int, text string")
+    words = segment.words_with_places(docs, "qa", "text")
+    counts = {r.qa: r.n or 0 for r in docs.select("qa", segment.word_count(F.col("text")).alias("n")).collect()}
+    assert counts == {i: len((t or "").split(" ")) - (t or "").split(" ").count("") for i, t in enumerate(texts)}
+    score = lambda q, f, k: float((q * 7 + f * 5 + k * 11) % 13)
+    vectors = [(q, f, [score(q, f, k) for k in range(7)], [score(q, f + 3, k) for k in range(7)]) for q, n in counts.items() for f in range(n)]
+    rows = [(q, f, a, b, 3, min(4, counts[q] - f), f - 3) for q, f, a, b in vectors]
+    df = spark.createDataFrame(rows, "qa int, feature int, start_scores array<double>, end_scores array<double>, context_offset int, context_length int, context_shift int")
+    want = decode.with_text(decode.n_best(df, 4, 3, words), docs)
+    for features in (df, decode.proposals(df, 4, 3)):
+        for small in (False, True):
+            got = decode.with_words(decode.n_best(features, 4, 3, small=small), docs)
+            assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
+    assert want.filter("start >= 0").count() > 10
+
+
 def test_cleaning_moves_and_unites_annotations(spark):
     docs = spark.createDataFrame([("d", "  a   b\n\n\nc  d"), ("n", None), ("e", "")], "k string, t string")
     runs = rebase.kept_runs(docs, "k", "t")

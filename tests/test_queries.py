@@ -49,6 +49,18 @@ def test_query_without_sql_runs(spark, name):
     assert catalogue.QUERIES[name](spark, str(DATA)).count() > 0
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["answer_text"])
+def test_documents_and_their_words_are_not_broadcast(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10g")
+    try:
+        plan = catalogue.QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_nothing_else_imports_the_training_subpackage():
     root = Path(__file__).resolve().parent.parent / "spanloom"
     for p in root.rglob("*.py"):

@@ -10,7 +10,7 @@ Instead of the scores they may have what ``proposals`` makes of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,13 +41,13 @@ def proposals(scores: DataFrame, n: int, longest: int) -> DataFrame:
     return scores.select(*[c for c in scores.columns if c not in ("start_scores", "end_scores")], pairs.alias("pairs"), none.alias("none"))
 
 
-def _spans(features: DataFrame, n: int, longest: int) -> DataFrame:
+def _spans(features: DataFrame, n: int, longest: int, pairs: Column | str = "pairs") -> DataFrame:
     found = features if "pairs" in features.columns else proposals(features, n, longest)
     shift = F.col("context_shift").cast("int") if "context_shift" in features.columns else F.lit(0)
     low, high = F.col("context_offset"), F.col("context_offset") + F.col("context_length") - 1
-    found = found.select("qa", "feature", shift.alias("shift"), low.alias("low"), high.alias("high"), F.explode("pairs").alias("p"))
+    found = found.select("qa", "feature", shift.alias("shift"), low.alias("low"), high.alias("high"), F.explode(pairs).alias("p"))
     inside = (F.col("p.start") >= F.col("low")) & (F.col("p.start") <= F.col("high")) & (F.col("p.end") <= F.col("high"))
-    return found.filter(inside).select("qa", "feature", "p.start", "p.end", "p.score", "shift")
+    return found.filter(inside | (F.col("p.start") < 0)).select("qa", "feature", "p.start", "p.end", "p.score", "shift")
 
 
 def null_scores(features: DataFrame) -> DataFrame:
@@ -62,21 +62,29 @@ def n_best(features: DataFrame, n: int, longest: int, tokens: DataFrame | None =
     Where no answer isn't among the best ``n`` it follows as one more.  The same place met in several windows counts once, with its
     best score.  start and end are tokens of the document; with ``tokens`` (qa, tok_i, c_start, c_end; ends exclusive) places
     are compared, and given as char_start and char_end (inclusive), in signs.  Probabilities are over the rows returned.
-    ``small``: questions are many and of few features, so their spans move once, by question; else by place first, and only the distinct ones by question.
+    ``small``: questions are many and of few features, so features move by question before they are spans; else spans move by place, and the distinct ones by question.
     """
     start, end = F.col("start") + F.col("shift"), F.col("end") + F.col("shift")
     nothing = F.col("start") <= 0
-    found = _spans(features, n, longest).select("qa", "feature", F.when(nothing, -1).otherwise(start).alias("start"), F.when(nothing, -1).otherwise(end).alias("end"), "score")
-    found = found.unionByName(null_scores(features).select("qa", "feature", F.lit(-1).alias("start"), F.lit(-1).alias("end"), "score"))
+    if small:
+        features = (features if "pairs" in features.columns else proposals(features, n, longest)).repartition("qa")
+        features = features.withColumn("_r", F.row_number().over(Window.partitionBy("qa").orderBy("none", "feature")))
+        none = F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.col("none").alias("score")))
+        pairs = F.when(F.col("_r") == 1, F.concat(F.coalesce("pairs", F.array()), none)).otherwise(F.col("pairs"))
+        found = _spans(features, n, longest, pairs)
+    else:
+        found = _spans(features, n, longest)
+    found = found.select("qa", "feature", F.when(nothing, -1).otherwise(start).alias("start"), F.when(nothing, -1).otherwise(end).alias("end"), "score")
+    if not small:
+        found = found.unionByName(null_scores(features).select("qa", "feature", F.lit(-1).alias("start"), F.lit(-1).alias("end"), "score"))
     place = ["start", "end"]
     if tokens is not None:
         place = ["char_start", "char_end"]
         first = tokens.select("qa", F.col("tok_i").alias("start"), F.col("c_start").alias("char_start"))
         last = tokens.select("qa", F.col("tok_i").alias("end"), (F.col("c_end") - 1).alias("char_end"))
-        found = found.join(first, ["qa", "start"], "left").join(last, ["qa", "end"], "left")
+        # never broadcast: the size of tokens is estimated by compressed files of text, far too low
+        found = found.join(first.hint("merge"), ["qa", "start"], "left").join(last.hint("merge"), ["qa", "end"], "left")
         found = found.withColumns({c: F.when(F.col("start") < 0, -1).otherwise(F.col(c)) for c in place})
-    if small:
-        found = found.repartition("qa")
     rows = Window.partitionBy("qa")
     order = rows.orderBy(F.desc("score"), F.col("start") < 0, "start", "end", "feature")
     one = Window.partitionBy("qa", *place).orderBy(F.desc("score"), "start", "end", "feature")
@@ -90,7 +98,7 @@ def n_best(features: DataFrame, n: int, longest: int, tokens: DataFrame | None =
 def with_text(ranked: DataFrame, documents: DataFrame) -> DataFrame:
     """``ranked`` with the text of each answer, '' for no answer; documents: (qa, text)."""
     cut = F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start") + 1)
-    return ranked.join(documents.select("qa", "text"), "qa", "left").withColumn("text", F.when(F.col("start") < 0, F.lit("")).otherwise(cut))
+    return ranked.join(documents.select("qa", "text").hint("merge"), "qa", "left").withColumn("text", F.when(F.col("start") < 0, F.lit("")).otherwise(cut))
 
 
 def with_words(ranked: DataFrame, documents: DataFrame, blank: str = " ") -> DataFrame:

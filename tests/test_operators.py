@@ -268,6 +268,9 @@ def test_places_of_words_within_the_row(spark):
             got = decode.with_words(decode.n_best(features, 4, 3, small=small), docs)
             assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
     assert want.filter("start >= 0").count() > 10
+    empty = spark.createDataFrame([(1, 0, None, None, 0, 2), (1, 1, [1.0], [None], 0, 1), (2, 0, [0.5, 3.0], [0.25, 1.0], 0, 2), (2, 1, [0.5, 1.0], [0.0, 2.0], 0, 2)], "qa int, feature int, start_scores array<double>, end_scores array<double>, context_offset int, context_length int")
+    assert sorted(map(str, decode.n_best(empty, 2, 2, small=True).collect())) == sorted(map(str, decode.n_best(empty, 2, 2).collect()))
+    assert "BroadcastHashJoin" not in want._jdf.queryExecution().executedPlan().toString()  # small tables, which Spark itself would broadcast
 
 
 def test_cleaning_moves_and_unites_annotations(spark):

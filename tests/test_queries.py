@@ -50,7 +50,7 @@ def test_query_without_sql_runs(spark, name):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["answer_text"])
+@pytest.mark.parametrize("name", ["answer_text", "nbest_text"])
 def test_documents_and_their_words_are_not_broadcast(spark, name):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10g")
